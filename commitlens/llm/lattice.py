@@ -129,6 +129,7 @@ class Lattice:
         self.src = at + word[at] if len(at) else at
         self.dst = self.src + self.length
         self.rel = rel[at] if len(at) else at
+        self.word = word[at] if len(at) else at
         self.nodes = n + len(words)
         code = cp[at]
         self.n_bytes = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import media, quality, warc
+from . import fertility, langid, media, quality, sampling, warc
 from .frames import documents
 
 QUERIES: dict = {}
@@ -27,11 +27,26 @@ def op1(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@query("op2_sampling")
+def op2(spark, sf_dir):
+    return sampling.encode(documents(spark, sf_dir))
+
+
+@query("op4_langid")
+def op4(spark, sf_dir):
+    return langid.predict(documents(spark, sf_dir))
+
+
 @query("op6_media")
 def op6(spark, sf_dir):
     return media.text_media(documents(spark, sf_dir))
 
 
+@query("op7_fertility")
+def op7(spark, sf_dir):
+    return fertility.rules(documents(spark, sf_dir))
+
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 m AS (SELECT hex, max(page_id) AS most, count(*) AS n FROM p GROUP BY hex),
