@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import fertility, langid, media, quality, sampling, warc
+from . import fertility, langid, media, mixing, quality, sampling, secrets, warc
 from .frames import documents
 
 QUERIES: dict = {}
@@ -32,6 +32,11 @@ def op2(spark, sf_dir):
     return sampling.encode(documents(spark, sf_dir))
 
 
+@query("op3_secrets")
+def op3(spark, sf_dir):
+    return secrets.scan(documents(spark, sf_dir))
+
+
 @query("op4_langid")
 def op4(spark, sf_dir):
     return langid.predict(documents(spark, sf_dir))
@@ -62,3 +67,8 @@ FROM p JOIN m USING (hex) JOIN g USING (hex)
 @query("op8_warc", _WARC_SQL)
 def op8(spark, sf_dir):
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op10_mixing", mixing.oracle())
+def op10(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
