@@ -21,7 +21,7 @@ def arrow_schema(schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
-def map_slices(df: DataFrame, make, schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def map_slices(df: DataFrame, make, schema: str | StructType, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """df through fn = make(), called in each task: fn(batch of at most slice_rows rows) gives a dict of columns or None.
 
     A fn with an attribute `end` is asked for end() once its partition is over.

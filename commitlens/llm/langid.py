@@ -17,6 +17,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .frames import cut, fold, id_text, map_slices, texts
 from .lattice import SPACE, VOCAB, Box, Known, Lattice
@@ -155,8 +156,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     own = docs.select(*[F.col(c) for c in keep], *[F.col(c) for c in ("doc_id", "text") if c not in keep])
     own = own.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     carried = [c for c in own.columns if c in keep or c == "doc_id"]
-    kinds = dict(own.dtypes)
-    return map_slices(own, make, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", lang_pred string, score double")
+    return map_slices(own, make, StructType([*(own.schema[c] for c in carried), StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
+
+def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows whose language is known with at least this score, with docs' columns."""
+    own = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return identify(own, model, ["_row"]).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("_row.*")
 
 
 def predict(docs: DataFrame, folds: int = 3, held: int = 1, vocab: str = VOCAB) -> DataFrame:

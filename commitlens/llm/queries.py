@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F  # noqa: F401
+import corpus_pipeline
 
-from . import fertility, langid, media, mixing, quality, sampling, secrets, warc
+from . import fertility, jaccard, langid, lm, media, mixing, quality, sampling, secrets, warc
 from .frames import documents
 
 QUERIES: dict = {}
@@ -42,6 +42,11 @@ def op4(spark, sf_dir):
     return langid.predict(documents(spark, sf_dir))
 
 
+@query("op5_jaccard")
+def op5(spark, sf_dir):
+    return jaccard.linked(documents(spark, sf_dir))
+
+
 @query("op6_media")
 def op6(spark, sf_dir):
     return media.text_media(documents(spark, sf_dir))
@@ -69,6 +74,16 @@ def op8(spark, sf_dir):
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@query("op9_lm")
+def op9(spark, sf_dir):
+    return lm.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query("op10_mixing", mixing.oracle())
 def op10(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
