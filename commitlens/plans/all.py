@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from . import label_queries  # noqa: F401
