@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import map_slices
-from .lattice import SPACE, VOCAB, Box, Known, Lattice, Vocabulary
+from .lattice import SPACE, VOCAB, Box, Known, Lattice, Vocabulary, gather
 
 K = 2
 SHARPNESS = 1.0
 #: Nodes held per worker.
-HELD = 1_500_000
+HELD = 3_000_000
 _CHUNKS = re.compile(f"{SPACE}*(?:\n|[^{SPACE}\n]+)|{SPACE}+")
 #: Stands for a literal mark while the spaces are marks; it has no piece.
 _STAND_IN = "\U0010fffe"
@@ -49,6 +49,22 @@ def decode(ids, v: Vocabulary) -> str:
     return b"".join(v.spelled[ids]).decode("utf-8", "surrogatepass")[1:] if len(ids) else ""
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def salts(seeds: np.ndarray, turn: int, number: np.ndarray) -> np.ndarray:
+    """A salt for each (row seed, turn, number of a chunk)."""
+    return _mixed(seeds + np.uint64((turn + 1) * 0xD1B54A32D192ED03 % (1 << 64)) + _mixed(number.astype(np.uint64) + np.uint64(1)))
+
+
+def uniform(salt: np.ndarray, step: int) -> np.ndarray:
+    """Numbers in [0, 1) by salt and step: they don't depend on what else is drawn at the same time."""
+    return (_mixed(salt + np.uint64((step + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)).astype(float) * 2.0**-53
+
+
 class Flat:
     """An array that grows in place."""
 
@@ -67,23 +83,28 @@ class Flat:
 
 
 class Paths:
-    """Choices at each node of the chunks seen, held flat: an edge's chance, target and piece."""
+    """Choices at each node of the chunks seen, held flat: an edge's chance, target and piece.
+
+    A chunk's main path takes the likeliest edge at each node. Most draws are that path, so a draw first decides
+    between it and all others by one number, and walks the lattice only for the others.
+    """
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self._reach, self._logq, self._dst, self._piece, self._lo, self._first, self._z = Flat(float), Flat(float), Flat(np.int32), Flat(np.int32), Flat(np.int32), Flat(np.int32), Flat(float)
+        self.flat = {"reach": Flat(float), "logq": Flat(float), "dst": Flat(np.int32), "piece": Flat(np.int32), "lo": Flat(np.int32), "first": Flat(np.int32), "z": Flat(float), "main": Flat(np.int32), "main_at": Flat(np.int64), "main_n": Flat(np.int64), "main_p": Flat(float)}
         self.byte = np.array([v.byte_id.get(i, 0) for i in range(128)])
         self.clear()
 
     def clear(self):
         self.known = Known()
-        for x in (self._reach, self._logq, self._dst, self._piece, self._lo, self._first, self._z):
+        for x in self.flat.values():
             x.n = 0
-        self._lo.add(np.zeros(1, np.int32))
+        self.flat["lo"].add(np.zeros(1, np.int32))
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The chunks' numbers; the views of the arrays hold until the next call."""
-        if self._lo.n > HELD:
+        f = self.flat
+        if f["lo"].n > HELD:
             self.clear()
         at = self.known.numbers(chunks)
         if self.known.new:
@@ -95,104 +116,190 @@ class Paths:
             src, dst, logq = lat.src[order], lat.dst[order], logq[order]
             n = np.bincount(src, minlength=lat.nodes)
             lo = np.cumsum(n) - n
-            nodes, edges = self._lo.n - 1, self._piece.n
+            nodes, edges = f["lo"].n - 1, f["piece"].n
             run = np.cumsum(np.exp(logq))
             reach = np.minimum(run - np.r_[0.0, run][lo[src]], 1.0)
             reach[np.r_[src[1:] != src[:-1], True]] = 1.0
-            self._reach.add(reach)
-            self._logq.add(logq)
+            f["reach"].add(reach)
+            f["logq"].add(logq)
             ends = np.zeros(lat.nodes, bool)
             ends[lat.last] = True
-            self._dst.add(np.where(ends[dst], -1, nodes + dst))
+            to = np.where(ends[dst], -1, dst)
+            f["dst"].add(np.where(to < 0, -1, nodes + to))
             # a character without a piece: its byte's id, or minus two less its code where it has several bytes
             code = lat.code.astype(np.int64)
-            self._piece.add(np.where(lat.piece >= 0, lat.piece, np.where(code < 128, self.byte[np.minimum(code, 127)], -2 - code))[order])
-            self._lo.n -= 1
-            self._lo.add(np.r_[edges + lo, edges + len(src)])
-            self._first.add(nodes + lat.first)
-            self._z.add(back[lat.first])
+            f["piece"].add(np.where(lat.piece >= 0, lat.piece, np.where(code < 128, self.byte[np.minimum(code, 127)], -2 - code))[order])
+            f["lo"].n -= 1
+            f["lo"].add(np.r_[edges + lo, edges + len(src)])
+            f["first"].add(nodes + lat.first)
+            f["z"].add(back[lat.first])
+            steps, rows, live, node = [], [], np.arange(len(lat.first)), lat.first
+            while len(live):
+                e = lo[node]
+                steps.append(e)
+                rows.append(live)
+                on = to[e] >= 0
+                node, live = to[e][on], live[on]
+            row = np.concatenate(rows)
+            main, length = np.concatenate(steps)[np.argsort(row, kind="stable")], np.bincount(row)
+            begin = np.cumsum(length) - length
+            f["main_at"].add(f["main"].n + begin)
+            f["main"].add(edges + main)
+            f["main_n"].add(length)
+            f["main_p"].add(np.exp(np.add.reduceat(logq[main], begin)))
             self.known.new.clear()
-        self.reach, self.logq, self.dst, self.piece, self.lo, self.first, self.z = (x.now for x in (self._reach, self._logq, self._dst, self._piece, self._lo, self._first, self._z))
+        for k, x in f.items():
+            setattr(self, k, x.now)
         return at
 
-    def draw(self, nodes: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-        """Edges drawn from each node to its chunk's end, one chunk after the other, and how many each has."""
+    def walk(self, nodes: np.ndarray, salt: np.ndarray, u: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Edges drawn from each node to its chunk's end, one chunk after the other, and how many each has.
+
+        With u (at or above the chance of the main path from each node), the draw is of all paths but the main one: it
+        leaves the main path where the chance of having stayed on it falls to u.
+        """
         steps, rows, live = [], [], np.arange(len(nodes))
+        stayed = None if u is None else np.ones(len(nodes))
         while len(live):
-            u, e = rng.random(len(nodes)), self.lo[nodes]
-            on = np.flatnonzero(self.reach[e] <= u)
+            e = self.lo[nodes]
+            r = uniform(salt, len(steps) + 1)
+            if stayed is None:
+                on = np.flatnonzero(self.reach[e] <= r)
+            else:
+                bound = stayed >= 0  # has not left the main path yet
+                likeliest = self.reach[e]
+                stayed = np.where(bound, stayed * likeliest, stayed)
+                leaves = bound & (u >= stayed)
+                r = np.where(bound, np.where(leaves, likeliest + r * (1 - likeliest), 0.0), r)
+                stayed[leaves] = -1.0
+                on = np.flatnonzero(likeliest <= r)
             while len(on):
                 e[on] += 1
-                on = on[self.reach[e[on]] <= u[on]]
+                on = on[self.reach[e[on]] <= r[on]]
             steps.append(e)
             rows.append(live)
             nodes = self.dst[e]
             on = nodes >= 0
-            nodes, live = nodes[on], live[on]
+            nodes, live, salt = nodes[on], live[on], salt[on]
+            if stayed is not None:
+                stayed, u = stayed[on], u[on]
         if not steps:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         row = np.concatenate(rows)
-        order = np.argsort(row, kind="stable")
-        return np.concatenate(steps)[order], np.bincount(row)
+        return np.concatenate(steps)[np.argsort(row, kind="stable")], np.bincount(row)
+
+    def draw(self, chunks: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of a drawn path of each chunk, one chunk after the other, and how many each has."""
+        u = uniform(salt, 0)
+        other = np.flatnonzero(u >= self.main_p[chunks])
+        edges, length = self.walk(self.first[chunks[other]], salt[other], u[other])
+        n = self.main_n[chunks]
+        if not len(other):
+            return self.main[gather(self.main_at[chunks], n)], n
+        n[other] = length
+        begin = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), np.int64)
+        stay = np.ones(len(chunks), bool)
+        stay[other] = False
+        own = chunks[stay]
+        out[gather(begin[stay], n[stay])] = self.main[gather(self.main_at[own], n[stay])]
+        out[gather(begin[other], length)] = edges
+        return out, n
 
     def node_of(self, e: int) -> int:
         return int(np.searchsorted(self.lo, np.int32(e), side="right")) - 1
 
 
-def top_k(paths: Paths, chunks: np.ndarray, k: int, rng) -> list[tuple[np.ndarray, float, float]]:
-    """(edges, log chance, log inclusion) of the k segmentations of largest perturbed log chance, largest first.
+class Search:
+    """The search over one text's segmentations. Works with exponentials e = exp(-Gumbel): the least comes first, and one truncated at a bound is the bound plus a fresh one.
 
-    Works with exponentials e = exp(-Gumbel), so the least comes first and a truncated one is the bound plus a fresh one.
+    waiting: (log e, position of the split, the path it leaves, the split's chunk, edges taken there), least first.
     """
-    if not len(chunks):
-        return [(np.zeros(0, np.int64), 0.0, 0.0)]
-    n_chunks, firsts = len(chunks), paths.first[chunks]
-    edges, per = paths.draw(firsts, rng)
-    out, waiting = [], []  # waiting: (log e, edges before the split, node, edges taken there, the split's chunk, log chance before)
-    now = (np.log(rng.exponential()), np.zeros(0, np.int64), edges, per, 0, [])
-    while True:
-        log_e, before, edges, per, chunk, gone = now
+
+    def __init__(self, chunks: np.ndarray, seed: int, k: int):
+        self.chunks, self.seed, self.k = chunks, seed, k
+        self.rng = np.random.Generator(np.random.PCG64(seed))
+        self.out, self.waiting = [], []
+        self.log_e, self.before, self.chunk, self.gone = float(np.log(self.rng.exponential())), np.zeros(0, np.int64), 0, []
+
+    def settle(self, paths: Paths, edges: np.ndarray, per: np.ndarray) -> bool:
+        """Takes the drawn rest of a path in, puts what branches off it to wait, and picks the next split; False at the end."""
         q = paths.logq[edges]
-        base = float(paths.logq[before].sum())
+        base = float(paths.logq[self.before].sum())
         ahead = base + np.cumsum(q) - q  # log chance before each choice
-        whole = np.concatenate([before, edges])
-        out.append((whole, base + float(q.sum()), log_e))
+        whole = np.concatenate([self.before, edges])
+        self.out.append((whole, base + float(q.sum())))
+        if not len(edges):
+            return False
         # what is left at each choice: all but the edge taken there (and at the split, the ones taken before)
         with np.errstate(divide="ignore"):
-            left = ahead + np.log(-np.expm1(np.minimum(q, -0.0)))
-            if gone:
+            rest = np.log(-np.expm1(q))
+            if self.gone:
                 node = paths.node_of(int(edges[0]))
-                rest = [x for x in range(paths.lo[node], paths.lo[node + 1]) if x not in gone and x != edges[0]]
-                left[0] = base + np.logaddexp.reduce(paths.logq[rest]) if rest else -np.inf
-            waits = np.logaddexp(log_e, np.log(rng.exponential(size=len(left))) - left)
-        due = k + 1 - len(out)
+                free = [x for x in range(paths.lo[node], paths.lo[node + 1]) if x not in self.gone and x != edges[0]]
+                rest[0] = np.logaddexp.reduce(paths.logq[free]) if free else -np.inf
+            waits = np.logaddexp(self.log_e, np.log(self.rng.exponential(size=len(rest))) - ahead - rest)
         # a choice of one edge leaves nothing; chances that only rounding leaves count as nothing too
-        ok = np.flatnonzero(np.isfinite(waits) & (left - ahead > -34))
-        ok = ok[np.argsort(waits[ok], kind="stable")[:due]]
-        chunk_of = chunk + np.repeat(np.arange(len(per)), per)[ok] if len(ok) else ok
-        for i, c in zip(ok.tolist(), chunk_of.tolist(), strict=True):
-            waiting.append((float(waits[i]), len(before) + i, whole, int(c), [*(gone if i == 0 else []), int(edges[i])]))
-        waiting.sort(key=lambda x: x[0])
-        del waiting[max(0, due) :]
-        if len(out) == k or not waiting:
-            break
-        log_e, i, whole, chunk, gone = waiting.pop(0)
-        node = paths.node_of(gone[0])
-        rest = np.array([x for x in range(paths.lo[node], paths.lo[node + 1]) if x not in gone])
-        p = np.exp(paths.logq[rest] - paths.logq[rest].max())
-        e = int(rest[min(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right"), len(rest) - 1)])
-        after = int(paths.dst[e])
-        tail = np.r_[[after] if after >= 0 else [], firsts[chunk + 1 :]].astype(np.int64)
-        drawn, n = paths.draw(tail, rng)
-        # the split's chunk goes on from the edge taken: its count takes that edge in
-        n = np.r_[1 + n[0], n[1:]] if after >= 0 else np.r_[1, n]
-        now = (log_e, whole[:i], np.r_[e, drawn], n.astype(np.int64), chunk, gone)
-    bound = -waiting[0][0] if waiting else None
-    done = []
-    for e, logp, _ in out:
-        x = None if bound is None else logp - bound
-        done.append((e, logp, 0.0 if x is None else float(x if x < -30 else np.log(-np.expm1(-np.exp(min(x, 30.0)))))))
-    return done
+        waits[~(rest > -34)] = np.inf
+        due = self.k + 1 - len(self.out)
+        ok = np.argpartition(waits, due)[:due] if due < len(waits) else np.arange(len(waits))
+        ends = np.cumsum(per)
+        for i in ok[np.isfinite(waits[ok])].tolist():
+            self.waiting.append((float(waits[i]), len(self.before) + i, whole, self.chunk + int(np.searchsorted(ends, i, side="right")), [*(self.gone if i == 0 else []), int(edges[i])]))
+        self.waiting.sort(key=lambda x: x[0])
+        del self.waiting[due:]
+        if len(self.out) == self.k or not self.waiting:
+            return False
+        self.log_e, i, whole, self.chunk, self.gone = self.waiting.pop(0)
+        node = paths.node_of(self.gone[0])
+        free = np.array([x for x in range(paths.lo[node], paths.lo[node + 1]) if x not in self.gone])
+        p = np.cumsum(np.exp(paths.logq[free] - paths.logq[free].max()))
+        self.edge = int(free[min(np.searchsorted(p, self.rng.random() * p[-1], side="right"), len(free) - 1)])
+        self.before, self.after = whole[:i], int(paths.dst[self.edge])
+        return True
+
+    def found(self) -> list[tuple[np.ndarray, float, float]]:
+        bound = -self.waiting[0][0] if self.waiting else None
+        done = []
+        for edges, logp in self.out:
+            x = None if bound is None else logp - bound
+            done.append((edges, logp, 0.0 if x is None else float(x if x < -30 else np.log(-np.expm1(-np.exp(min(x, 30.0)))))))
+        return done
+
+
+def top_k(paths: Paths, texts: list[np.ndarray], seeds: list[int], k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each text (its chunks' numbers): (edges, log chance, log inclusion) of the k segmentations of largest perturbed log chance, largest first.
+
+    The texts' paths are drawn together, turn by turn.
+    """
+    all_ = [Search(c, s, k) for c, s in zip(texts, seeds, strict=True)]
+    live, turn = all_, 0
+    while live:
+        if turn:
+            starts = np.array([s.after for s in live], np.int64)
+            own = np.flatnonzero(starts >= 0)
+            seeds_ = np.array([s.seed for s in live], np.uint64)
+            on, on_n = paths.walk(starts[own], salts(seeds_[own], turn, np.full(len(own), 1 << 40)))
+            more = np.zeros(len(live), np.int64)
+            more[own] = on_n
+            on_at = np.cumsum(more) - more
+        tails = [s.chunks[s.chunk + bool(turn) :] for s in live]
+        n = np.array([len(t) for t in tails])
+        at = np.cumsum(n) - n
+        row = np.repeat(np.arange(len(live)), n)
+        edges, per = paths.draw(np.concatenate(tails), salts(np.array([s.seed for s in live], np.uint64)[row], turn, np.arange(len(row)) - at[row]))
+        upto = np.r_[0, np.cumsum(per)]
+        still = []
+        for i, s in enumerate(live):
+            lo, hi = int(at[i]), int(at[i] + n[i])
+            e, c = edges[upto[lo] : upto[hi]], per[lo:hi]
+            if turn:
+                mid = on[on_at[i] : on_at[i] + more[i]]
+                e, c = np.concatenate([[s.edge], mid, e]).astype(np.int64), np.concatenate([[1 + len(mid)], c])
+            if s.settle(paths, e, c):
+                still.append(s)
+        live, turn = still, turn + 1
+    return [s.found() for s in all_]
 
 
 def to_ids(paths: Paths, edges: np.ndarray) -> np.ndarray:
@@ -226,25 +333,24 @@ def encode(docs: DataFrame, k: int = K, sharpness: float = SHARPNESS, base_seed:
             ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
             split = [_CHUNKS.findall(escaped(t)) for t in texts]
             at = paths.numbers([c for x in split for c in x])
-            rows, flat, done = [], [], 0
-            for doc_id, text, x in zip(ids, texts, split, strict=True):
-                rng = np.random.Generator(np.random.PCG64(seed(doc_id, text, base_seed)))
-                own = at[done : done + len(x)]
-                done += len(x)
-                z = float(paths.z[own].sum())
-                for i, (edges, logp, logi) in enumerate(top_k(paths, own, k, rng)):
-                    got = to_ids(paths, edges)
-                    flat.append(got)
-                    rows.append((doc_id, i + 1, len(got), logp, logi, decode(got, v) == text, logp + z))
+            rows, flat = [], []
+            own = np.split(at, np.cumsum([len(x) for x in split])[:-1])
+            found = top_k(paths, own, [seed(i, t, base_seed) for i, t in zip(ids, texts, strict=True)], k)
+            for doc_id, text, x, got in zip(ids, texts, own, found, strict=True):
+                z = float(paths.z[x].sum())
+                for i, (edges, logp, logi) in enumerate(got):
+                    pieces = to_ids(paths, edges)
+                    flat.append(pieces)
+                    rows.append((doc_id, i + 1, len(pieces), logp, logi, decode(pieces, v) == text, logp + z))
             offsets = np.r_[0, np.cumsum([len(x) for x in flat])].astype(np.int32)
-            pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
             names = ("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "is_exact", "log_weight")
-            return {n: [r[i] for r in rows] for i, n in enumerate(names)} | {"pieces": pieces}
+            return {n: [r[i] for r in rows] for i, n in enumerate(names)} | {"pieces": lists}
 
         return fn
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_slices(own, make, "doc_id long, sample int, n_pieces int, log_prob double, log_inclusion double, log_weight double, pieces array<int>, is_exact boolean", 64)
+    return map_slices(own, make, "doc_id long, sample int, n_pieces int, log_prob double, log_inclusion double, log_weight double, pieces array<int>, is_exact boolean", 128)
 
 
 def decoded(samples: DataFrame, vocab: str = VOCAB) -> DataFrame:
