@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select("a", "b").where("a <> b").distinct())
     found = None
     while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("b"), F.col("a")))
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")).where("parent < node"))
         new = roots(step)
         if found is None:
@@ -38,5 +38,5 @@ def components(links: DataFrame) -> DataFrame:
             found = cut(found.join(later, "root", "left").select("node", F.coalesce("above", "root").alias("root")).union(new))
         for side in ("a", "b"):
             edges = edges.join(new.select(F.col("node").alias(side), F.col("root").alias("_to")), side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
-        edges = cut(edges.where("a <> b").distinct())
+        edges = cut(edges.select("a", "b").where("a <> b").distinct())
     return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

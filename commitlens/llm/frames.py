@@ -56,17 +56,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
-    """df written as a Parquet table of its own in the shared folder, and read back."""
+    """df written as a Parquet table of its own in the shared folder, and read back: its lineage is cut there.
+
+    Unlike a checkpoint, the table carries no constraints of the plan that made it, which grow in loops.
+    """
     path = os.path.join(shared_dir(df.sparkSession), f"commitlens-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._commitlens_path = path
+    return out
+
+
+#: Small tables between the steps of a loop.
+cut = written
+
+
+def discard(table: DataFrame) -> None:
+    """Removes the files of a table that written() made; nothing may read it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._commitlens_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_text(doc_id: Column) -> Column:
@@ -80,3 +90,15 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def heaviest(df: DataFrame, by: str, n: int) -> DataFrame:
+    """At most n rows of largest `by` (whole numbers from 1): all rows beyond a limit that a histogram of fixed size gives, so that no task sorts and none sends more than it must."""
+    bucket = F.when(F.col(by) < 4096, F.col(by)).otherwise(4096 + F.floor(F.log2(by) * 64)).cast("long")
+    df = df.withColumn("_bucket", bucket)
+    left, limit = n, None
+    for r in sorted(df.groupBy("_bucket").agg(F.count("*").alias("k")).collect(), key=lambda r: -r._bucket):
+        if r.k > left:
+            break
+        left, limit = left - r.k, r._bucket
+    return df.where(F.col("_bucket") >= F.lit(limit)).drop("_bucket")

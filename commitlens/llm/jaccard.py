@@ -24,20 +24,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut, map_slices, written
+from .frames import cut, discard, heaviest, map_slices, written
 
 WIDTH = 4
 #: Two documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Frequent shingles that are ordered by frequency, at most (what is sent to executors is bounded by this), and those a
 #: task may name.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 16
 NAMED = 50_000
 FRAGMENTS = 4
 BLOOM_BITS = 26
 #: Pairs between components, over rows of prefixes, above which another round of single checks comes first.
-DENSE = 2.0
-ROUNDS = 12
+DENSE = 20.0
+ROUNDS = 4
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -159,23 +159,35 @@ def bloom(nodes: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
 
 
 def fragments(docs: DataFrame, sent, width: int, count: int = FRAGMENTS, bits: int = BLOOM_BITS) -> DataFrame:
-    """node, part and tokens: sets cut by the global order; part 0 holds the frequent shingles. Only nodes in the filter come."""
+    """node, part and tokens: sets cut by the global order; part 0 holds the frequent shingles.
+
+    Only nodes in the one filter come, and of each only rows whose id is in the other, which holds one id per node. A
+    filter's false hits, and rows without an id, may give a node's set again; it is the same set.
+    """
 
     def make():
-        frequent, rank, held = sent.value
+        frequent, rank, nodes_held, ids_held = sent.value
         seen: set = set()
         pivots = (np.arange(1, count, dtype=np.uint64) * np.uint64((1 << 64) // count)).astype(np.uint64)
 
+        def within(x, held):
+            hit = np.ones(len(x), bool)
+            for p in _bits(x, bits):
+                hit &= (held[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            return hit
+
         def fn(b):
             nodes, parts, sets = [], [], []
             if len(seen) > 500_000:
                 seen.clear()
-            for t in b.column("text").to_pylist():
+            ids = b.column("doc_id")
+            wanted = within(ids.fill_null(0).to_numpy(zero_copy_only=False), ids_held) | ids.is_null().to_numpy(zero_copy_only=False)
+            for t, want in zip(b.column("text").to_pylist(), wanted.tolist(), strict=True):
+                if not want:
+                    continue
                 s = shingles(t, width)
                 x = _node(s)
-                if x is None or x in seen:
-                    continue
-                if not all(held[p[0] >> 6] >> np.uint64(p[0] & 63) & np.uint64(1) for p in _bits(np.array([x]), bits)):
+                if x is None or x in seen or not within(np.array([x]), nodes_held)[0]:
                     continue
                 seen.add(x)
                 often = _order(s, frequent, rank) > 0
@@ -192,7 +204,7 @@ def fragments(docs: DataFrame, sent, width: int, count: int = FRAGMENTS, bits: i
 
         return fn
 
-    return map_slices(docs, make, "node long, part int, tokens array<long>", 64).dropDuplicates(["node", "part"])
+    return map_slices(docs, make, "node long, part int, tokens array<long>", 64)
 
 
 def _close(n: Column, m: Column, percent: int) -> Column:
@@ -200,13 +212,35 @@ def _close(n: Column, m: Column, percent: int) -> Column:
     return percent * F.greatest(n, m) <= 100 * F.least(n, m)
 
 
+def _needed(na: str, nb: str, percent: int) -> Column:
+    """The least overlap of sets of these sizes that links them."""
+    return F.ceil(percent * (F.col(na) + F.col(nb)) / F.lit(100.0 + percent) - F.lit(1e-9))
+
+
+def _prefix(n: Column, percent: int) -> Column:
+    return n - F.ceil(percent * n / F.lit(100.0) - F.lit(1e-9)) + 1
+
+
+def plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose overlap may be large enough by what their prefixes share.
+
+    heads: node and its prefix shingles that others have too. Where the prefix of one set ends first in the order, all
+    that both share up to there is in both prefixes, so the overlap is at most that plus the rest of this set.
+    """
+    left, right = (heads.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}")) for k in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
+    rest = F.greatest(F.col("na") - _prefix(F.col("na"), percent), F.col("nb") - _prefix(F.col("nb"), percent))
+    return both.where(F.size(F.array_intersect("ta", "tb")) + rest >= _needed("na", "nb", percent)).select("a", "b", "na", "nb")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, count: int = FRAGMENTS) -> DataFrame:
     """The pairs (a, b, na, nb) that link: overlaps counted per fragment and summed per pair."""
     own = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(count))))
     left, right = (sets.select(F.col("node").alias(k), "part", F.col("tokens").alias(f"t{k}")) for k in ("a", "b"))
-    parts = own.join(left, ["a", "part"]).join(right, ["b", "part"])
-    shared = parts.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("ta", "tb"))).alias("shared"))
-    return shared.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    parts = own.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "na", "nb", "part", F.size(F.array_intersect("ta", "tb")).alias("n"))
+    # a set may be there more than once: its counts are equal
+    shared = parts.groupBy("a", "b", "na", "nb", "part").agg(F.max("n").alias("n")).groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("shared"))
+    return shared.where(F.col("shared") >= _needed("na", "nb", percent)).select("a", "b")
 
 
 def _pair(node: str, n: str, other: str, m: str) -> list[Column]:
@@ -220,8 +254,10 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = written(surveyed(own, width))
     members = survey.where("token is null").select("doc_id", "n", "node")
-    top = survey.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "token").limit(FREQUENT).collect()
-    frequent = np.array([r.token for r in reversed(top)], np.int64).view(np.uint64)
+    top = heaviest(survey.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")), "cnt", FREQUENT).toArrow()
+    frequent, cnt = top.column("token").to_numpy().view(np.uint64), top.column("cnt").to_numpy()
+    by_count = np.lexsort((frequent, cnt))
+    frequent = frequent[by_count]
     at = np.argsort(frequent)
     frequent, rank = frequent[at], at + 1
     sent = sc.broadcast((frequent, rank))
@@ -231,35 +267,41 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     rows = prefixes(own.select("text"), sent, width, percent).repartition("token").groupBy("token", "node", "n").agg(F.count("*").alias("_k")).drop("_k")
     rows = rows.withColumns({"hub": F.first("node").over(by), "hn": F.first("n").over(by), "before": F.lag("node").over(by), "bn": F.lag("n").over(by), "after": F.lead("node").over(by)})
     shared = written(rows.where("before is not null or after is not null").drop("after"))
-    held = bloom(shared.select("node").distinct())
-    sets = written(fragments(own.select("text"), sc.broadcast((frequent, rank, held)), width))
+    heads = cut(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")))  # a prefix at most
+    leaders = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+
+    def checked(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Links and components with the links among these pairs."""
+        pairs = cut(plausible(pairs, heads, percent))
+        ends = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(leaders, "node"))
+        filters = bloom(ends.select("node")), bloom(ends.select(F.coalesce("doc_id", F.lit(0)).alias("node")))
+        sets = written(fragments(own, sc.broadcast((frequent, rank, *filters)), width))
+        new = verified(pairs, sets, percent)
+        links = cut(new if links is None else links.union(new).distinct())
+        discard(sets)
+        return links, components(links)
 
     # one check per node at first, against the set that most of its prefix shares first or next to it
     near = lambda to, n: shared.where(F.col(to).isNotNull() & (F.col(to) != F.col("node")) & _close(F.col("n"), F.col(n), percent)).select("node", "n", F.col(to).alias("to"), F.col(n).alias("m"))
-    links, found = _checked(near("hub", "hn").union(near("before", "bn")), sets, percent, None)
-    for k in range(ROUNDS):
+    links, found = checked(_best(near("hub", "hn").union(near("before", "bn"))), None)
+    most = DENSE * shared.count()
+    for k in range(ROUNDS + 1):
         mixed = _mixed(shared.select("token", "node", "n"), found)
-        if mixed is None:
+        if mixed is None or k == ROUNDS or _pairs_between(mixed) <= most:
             break
-        made = mixed.select("token", "rest", "n_token").distinct().agg(F.coalesce(F.sum(F.col("rest") * F.col("n_token")), F.lit(0)).alias("pairs")).first().pairs
-        if made > DENSE * shared.count():
-            turn = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(k)))
-            turned = mixed.withColumns({"to": F.lag("node").over(turn), "m": F.lag("n").over(turn), "other": F.lag("comp").over(turn)})
-            turned = turned.where(F.col("to").isNotNull() & (F.col("other") != F.col("comp")) & _close(F.col("n"), F.col("m"), percent)).select("node", "n", "to", "m")
-            more, now = _checked(turned, sets, percent, links)
-            if more.count() > links.count():
-                links, found = more, now
-                continue
+        turn = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(k)))
+        turned = mixed.withColumns({"to": F.lag("node").over(turn), "m": F.lag("n").over(turn), "other": F.lag("comp").over(turn)})
+        turned = turned.where(F.col("to").isNotNull() & (F.col("other") != F.col("comp")) & _close(F.col("n"), F.col("m"), percent)).select("node", "n", "to", "m")
+        links, found = checked(_best(turned), links)
+    if mixed is not None:
         # every pair between different components that shares a prefix shingle: of a shingle's rows, those outside its
         # largest component against all of it
         rest = mixed.where("comp <> main").select("token", "node", "n", "comp")
         all_ = mixed.select("token", F.col("node").alias("to"), F.col("n").alias("m"), F.col("comp").alias("other"))
         pairs = rest.join(all_, "token").where((F.col("comp") != F.col("other")) & _close(F.col("n"), F.col("m"), percent)).select(*_pair("node", "n", "to", "m")).distinct()
-        links = cut(links.union(verified(pairs, sets, percent)))
-        found = components(links)
-        break
+        links, found = checked(pairs, links)
 
-    placed = cut(members.join(found.withColumn("node", F.col("node")), "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("comp")))
+    placed = cut(members.join(found, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("comp")))
     least = cut(placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")))
     return placed.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
@@ -273,13 +315,16 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return own.join(cut(stay), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
-def _checked(near: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Links and components with one more check for each node: against the node it shares most prefix shingles with here."""
+def _pairs_between(mixed: DataFrame) -> int:
+    """How many pairs the search between components would make."""
+    return mixed.select("token", "rest", "n_token").distinct().agg(F.coalesce(F.sum(F.col("rest") * F.col("n_token")), F.lit(0)).alias("n")).first().n
+
+
+def _best(near: DataFrame) -> DataFrame:
+    """One pair for each node of near (node, n, to, m): with the other node that stands there most often."""
     votes = near.groupBy("node", "n", "to", "m").agg(F.count("*").alias("k"))
     best = votes.groupBy("node", "n").agg(F.max_by(F.struct("to", "m"), F.struct("k", "to")).alias("x")).select("node", "n", "x.to", "x.m")
-    new = verified(best.select(*_pair("node", "n", "to", "m")).distinct(), sets, percent)
-    links = cut(new if links is None else links.union(new).distinct())
-    return links, components(links)
+    return best.select(*_pair("node", "n", "to", "m")).distinct()
 
 
 def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame | None:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, map_slices, texts
+from .frames import cut, heaviest, map_slices, texts
 from .lattice import Known
 
 #: Words of the vocabulary, at most; number 0 is the unknown word, and the last number stands before a text's first word.
@@ -62,11 +62,11 @@ def word_counts(df: DataFrame, flush: int = 150_000) -> DataFrame:
 
 
 def vocabulary(background: DataFrame, target: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """At most `size` words, half of them for the target's."""
-    top = lambda df, n: [r.word for r in word_counts(df).orderBy(F.desc("n"), "word").limit(n).collect()]
+    """At most `size` words, half of them for the target's; of equally frequent words all or none."""
+    top = lambda df, n: sorted(heaviest(cut(word_counts(df)), "n", n).toArrow().column("word").to_pylist())
     own = top(target, size // 2)
     seen = set(own)
-    return own + [w for w in top(background, size) if w not in seen][: size - len(own)]
+    return own + [w for w in top(background, size - len(own)) if w not in seen]
 
 
 def _cells(before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
