@@ -1,4 +1,4 @@
-"""Graph operators over node and edge tables: frontier loops with reliable checkpoints.
+"""Graph operators over node and edge tables: frontier loops over tables in the shared folder.
 
 Every loop carries a key, so that all repos, commits or roots advance together, and stops when no row is new.
 """
@@ -6,18 +6,26 @@ Every loop carries a key, so that all repos, commits or roots advance together,
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df by a reliable checkpoint in the folder that the cluster names; a folder is made only where none is named."""
+    """df written as a table in the folder that the cluster names for checkpoints, and read back; a folder is made only where none is named.
+
+    Unlike a checkpoint, the table carries no constraints of the plan that made it, which grow in loops.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="commitlens-"))
-    return df.checkpoint()
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        at = tempfile.mkdtemp(prefix="commitlens-")
+        sc.setCheckpointDir(at)
+    path = f"{at}/commitlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], max_depth: int | None = None, expand: DataFrame | None = None) -> DataFrame:
