@@ -69,7 +69,7 @@ def graphs(spark: SparkSession, path: str, glob: str = "*.dot") -> tuple[DataFra
     """Nodes (graph, node, ord, attrs) and edges (graph, src, dst, key, label, attrs) of the files below a root; graph is the file's relative path."""
     from .tables import files
 
-    raw = files(spark, path, glob).select("path", F.decode("content", F.lit("UTF-8")).alias("body"))
+    raw = files(spark, path, glob).select("path", F.decode("content", "UTF-8").alias("body"))
 
     def read(batches):
         for pdf in batches:

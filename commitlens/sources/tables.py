@@ -59,7 +59,7 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def relative(full, root: str):
     """The part of a file's path after its root."""
-    tail = F.lit(posixpath.normpath(root.split("://")[-1]).rstrip("/") + "/")
+    tail = posixpath.normpath(root.split("://")[-1]).rstrip("/") + "/"
     return F.url_decode(F.replace(F.substring_index(full, tail, -1), F.lit("+"), F.lit("%2B")))
 
 
@@ -86,7 +86,7 @@ def _decoded(content: pd.Series) -> pd.Series:
 
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
     """repo, dir, file (slice file name in lower case) and body of the JSON answers below a root of repo/dir/.../file_two_steps.json."""
-    df = files(spark, path, "*_two_steps.json").select("path", F.decode("content", F.lit("UTF-8")).alias("body"))
+    df = files(spark, path, "*_two_steps.json").select("path", F.decode("content", "UTF-8").alias("body"))
     parts = F.split("path", "/")
     return df.select(F.get(parts, 0).alias("repo_name"), F.get(parts, 1).alias("dir"), F.lower(F.regexp_replace(F.substring_index("path", "/", -1), r"_two_steps\.json$", "")).alias("file"), F.when(F.size(parts) > 3, F.get(parts, F.size(parts) - 2)).otherwise("").alias("subdir"), "body")
 
