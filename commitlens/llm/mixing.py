@@ -64,7 +64,7 @@ def _fit_sql(rounds: int, budget: float) -> tuple[str, str]:
 
 
 def fit(cells: DataFrame, flatten: float = FLATTEN, rounds: int = ROUNDS, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """_source_as, _lang_as, _topic_as, factor and p of every pooled cell (columns w and the names).
+    """_source_as, _lang_as, _topic_as, _factor and _p (the chance) of every pooled cell (columns w and the names).
 
     targets: per dimension, shares by value (values left out: 0); a dimension left out is flattened.
     """
@@ -88,23 +88,23 @@ def fit(cells: DataFrame, flatten: float = FLATTEN, rounds: int = ROUNDS, budget
     raked, scale = _fit_sql(rounds, budget)
     row = row.withColumn("raked", F.expr(raked)).withColumn("f", F.expr("zip_with(cells, raked, (c, x) -> if(c.w > 0D, x / c.w, 1D))")).withColumn("scale", F.expr(scale))
     out = row.select(F.explode(F.arrays_zip("named", "f")).alias("c"), "scale")
-    return out.select("c.named._source_as", "c.named._lang_as", "c.named._topic_as", F.col("c.f").alias("factor"), F.least(F.lit(1.0), F.col("c.f") * F.col("scale")).alias("p"))
+    return out.select("c.named._source_as", "c.named._lang_as", "c.named._topic_as", F.col("c.f").alias("_factor"), F.least(F.lit(1.0), F.col("c.f") * F.col("scale")).alias("_p"))
 
 
 def weighed(docs: DataFrame, topic: str | None = None, most: dict[str, int] = MOST, **how) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, factor, p and _taken."""
+    """docs with _source, _lang, _topic, _tokens, _factor, _p (the chance) and _taken."""
     df = prepared(docs, topic)
     cells = cut(pooled(df.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("w")), most))
     fitted = cut(fit(cells, **how))  # bounded by the pooled names
     if _within(cells, _CELLS):
         # a cell for each combination of values, checked to be few
-        chances = F.broadcast(cells.join(F.broadcast(fitted), ["_source_as", "_lang_as", "_topic_as"]).select("_source", "_lang", "_topic", "factor", "p"))
+        chances = F.broadcast(cells.join(F.broadcast(fitted), ["_source_as", "_lang_as", "_topic_as"]).select("_source", "_lang", "_topic", "_factor", "_p"))
         df = df.join(chances, ["_source", "_lang", "_topic"])
     else:
         for k in most:  # values without end: only the pooled names, bounded too, are sent out
             df = df.join(F.broadcast(cells.select(F.col(f"_{k}_as").alias("_as")).distinct()), F.col(f"_{k}") == F.col("_as"), "left").withColumn(f"_{k}_as", F.coalesce("_as", F.lit("(other)"))).drop("_as")
         df = df.join(F.broadcast(fitted), ["_source_as", "_lang_as", "_topic_as"]).drop(*[f"_{k}_as" for k in most])
-    return df.withColumn("_taken", F.col("_u") < F.col("p"))
+    return df.withColumn("_taken", F.col("_u") < F.col("_p"))
 
 
 _CELLS = 50_000
@@ -117,7 +117,7 @@ def _within(df: DataFrame, n: int) -> bool:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, the dimensions, n_tokens, weight, probability and selected of every row."""
     return weighed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang"), **how).select(
-        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("factor", 6).alias("weight"), F.round("p", 6).alias("probability"), F.col("_taken").alias("selected")
+        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_factor", 6).alias("weight"), F.round("_p", 6).alias("probability"), F.col("_taken").alias("selected")
     )
 
 

@@ -14,7 +14,7 @@ ORACLES: dict = {}
 def query(name: str, sql: str | None = None):
     def put(fn):
         QUERIES[name] = fn
-        if sql is not None:
+        if sql is not None:  # no SQL, no entry
             ORACLES[name] = sql
         return fn
 
