@@ -84,7 +84,10 @@ def labelled_samples(docs: DataFrame, strings: int = SAMPLE_STRINGS, sample_docs
         F.substring("h", 1, 40), F.substring(b64, 1, 40), F.substring(F.translate(b64, "+/=", "xQ7"), 1, 40), F.substring(F.translate(b64, "+/=", "-_"), 20, 40),
         F.substring(F.upper(F.translate(b64, "+/=018", "ABCDEF")), 1, 32),
     )).alias("token"), F.lit(1).alias("is_random"))
-    some = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(id_text(F.col("doc_id")), F.lit(3)).alias("u")).where("text is not null").orderBy("u", "text").limit(sample_docs)
+    own = docs.select(id_text(F.col("doc_id")).alias("_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    # ids alone are ordered; sample_docs bounds the broadcast side
+    ids = own.select("_id").orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(sample_docs).distinct()
+    some = own.join(F.broadcast(ids), "_id", "left_semi").select("text")
     words = some.select(F.filter(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), F.lit(1)), lambda w: F.length(w) <= 40).alias("w"))
     pairs = words.select(F.explode(F.transform("w", lambda w, i: F.concat_ws(" ", w, F.get("w", i + 1)))).alias("w"))
     phrases = docs.sparkSession.createDataFrame([(w,) for w in PHRASES], "w string").select(F.explode(F.array_repeat("w", 20)).alias("w"))
