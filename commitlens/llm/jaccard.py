@@ -37,7 +37,7 @@ FRAGMENTS = 4
 BLOOM_BITS = 26
 #: Pairs between components, over rows of prefixes, above which another round of single checks comes first.
 DENSE = 20.0
-ROUNDS = 4
+ROUNDS = 2
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -108,14 +108,14 @@ def _order(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nda
 
 
 def prefixes(docs: DataFrame, sent, width: int, percent: int) -> DataFrame:
-    """token, node and n: the first shingles in the global order of each set; a task names a set once."""
+    """token, node, n and pos, its place: the first shingles in the global order of each set; a task names a set once."""
 
     def make():
         frequent, rank = sent.value
         seen: set = set()
 
         def fn(b):
-            tokens, nodes, ns = [], [], []
+            tokens, nodes, ns, places = [], [], [], []
             if len(seen) > 500_000:
                 seen.clear()
             for t in b.column("text").to_pylist():
@@ -129,11 +129,12 @@ def prefixes(docs: DataFrame, sent, width: int, percent: int) -> DataFrame:
                 tokens.append(s[np.lexsort((s, place))[:k]])
                 nodes.append(np.full(k, x))
                 ns.append(np.full(k, len(s)))
-            return {"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(ns)} if tokens else None
+                places.append(np.arange(k))
+            return {"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(ns), "pos": np.concatenate(places)} if tokens else None
 
         return fn
 
-    return map_slices(docs, make, "token long, node long, n int", 64)
+    return map_slices(docs, make, "token long, node long, n int, pos int", 64)
 
 
 def _bits(x: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -264,8 +265,8 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
     # shared prefix shingles: rows whose shingle another set has too
     by = Window.partitionBy("token").orderBy("n", "node")
-    rows = prefixes(own.select("text"), sent, width, percent).repartition("token").groupBy("token", "node", "n").agg(F.count("*").alias("_k")).drop("_k")
-    rows = rows.withColumns({"hub": F.first("node").over(by), "hn": F.first("n").over(by), "before": F.lag("node").over(by), "bn": F.lag("n").over(by), "after": F.lead("node").over(by)})
+    rows = prefixes(own.select("text"), sent, width, percent).repartition("token").groupBy("token", "node", "n").agg(F.min("pos").alias("pos"))
+    rows = rows.withColumns({"before": F.lag("node").over(by), "bn": F.lag("n").over(by), "after": F.lead("node").over(by)})
     shared = written(rows.where("before is not null or after is not null").drop("after"))
     heads = cut(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")))  # a prefix at most
     leaders = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -281,12 +282,16 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
         discard(sets)
         return links, components(links)
 
-    # one check per node at first, against the set that most of its prefix shares first or next to it
-    near = lambda to, n: shared.where(F.col(to).isNotNull() & (F.col(to) != F.col("node")) & _close(F.col("n"), F.col(n), percent)).select("node", "n", F.col(to).alias("to"), F.col(n).alias("m"))
-    links, found = checked(_best(near("hub", "hn").union(near("before", "bn"))), None)
+    # one check per node at first: against the set it meets most often as the hub of a shingle, or next to it. A
+    # shingle's hub is the set whose prefix is shared most, such as the text that all near copies of a group come from
+    by = Window.partitionBy("token").orderBy(F.desc("share"), "n", "node")
+    share = heads.select("node", F.size("tokens").alias("k"))
+    hubs = shared.join(share, "node").withColumn("share", F.col("k") / _prefix(F.col("n"), percent)).withColumns({"hub": F.first("node").over(by), "hn": F.first("n").over(by)})
+    near = lambda df, to, n: df.where(F.col(to).isNotNull() & (F.col(to) != F.col("node")) & _close(F.col("n"), F.col(n), percent)).select("node", "n", F.col(to).alias("to"), F.col(n).alias("m"))
+    links, found = checked(_best(near(hubs, "hub", "hn").union(near(shared, "before", "bn"))), None)
     most = DENSE * shared.count()
     for k in range(ROUNDS + 1):
-        mixed = _mixed(shared.select("token", "node", "n"), found)
+        mixed = _mixed(shared.select("token", "node", "n", "pos"), found)
         if mixed is None or k == ROUNDS or _pairs_between(mixed) <= most:
             break
         turn = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(k)))
@@ -296,9 +301,12 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     if mixed is not None:
         # every pair between different components that shares a prefix shingle: of a shingle's rows, those outside its
         # largest component against all of it
-        rest = mixed.where("comp <> main").select("token", "node", "n", "comp")
-        all_ = mixed.select("token", F.col("node").alias("to"), F.col("n").alias("m"), F.col("comp").alias("other"))
-        pairs = rest.join(all_, "token").where((F.col("comp") != F.col("other")) & _close(F.col("n"), F.col("m"), percent)).select(*_pair("node", "n", "to", "m")).distinct()
+        rest = mixed.where("comp <> main").select("token", "node", "n", "pos", "comp")
+        all_ = mixed.select("token", F.col("node").alias("to"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other"))
+        # at the first shingle that a pair shares, all of its overlap is still to come
+        least = _needed("n", "m", percent)
+        ahead = (F.col("n") - F.col("pos") >= least) & (F.col("m") - F.col("at") >= least)
+        pairs = rest.join(all_, "token").where((F.col("comp") != F.col("other")) & _close(F.col("n"), F.col("m"), percent) & ahead).select(*_pair("node", "n", "to", "m")).distinct()
         links, found = checked(pairs, links)
 
     placed = cut(members.join(found, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("comp")))
@@ -329,7 +337,7 @@ def _best(near: DataFrame) -> DataFrame:
 
 def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame | None:
     """Rows of shingles that stand in several components, with comp, main (the shingle's largest component), n_token and rest (rows outside main); None without any."""
-    placed = shared.join(found, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("comp"))
+    placed = shared.join(found, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("comp"))
     each = placed.groupBy("token", "comp").agg(F.count("*").alias("k"))
     main = each.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("n_token"), F.max("k").alias("k"), F.count("*").alias("c")).where("c > 1")
     main = cut(main.select("token", "main", "n_token", (F.col("n_token") - F.col("k")).alias("rest")))
