@@ -1,10 +1,13 @@
 """Language-model scoring by cross-entropy difference.
 
-A bigram model of a target table and one of the whole background table share one vocabulary: the words most frequent
-in the background and all words of the target that are frequent enough, the rest being one unknown word. Both are
-counted over all rows into the same hashed table of bigrams and smoothed by the unigrams; background counts are scaled
-to the target's size, so that the models match. A document's score is the mean over its tokens of the target model's
-loss minus the background model's: the lower, the more like the target.
+A bigram model of a target table and one of the whole background table share one vocabulary: all words of both, and one
+unknown word. Both are counted over all rows, each word and each bigram apart, and smoothed by the unigrams; background
+counts are scaled to the target's size, so that the models match. A document's score is the mean over its tokens of the
+target model's loss minus the background model's: the lower, the more like the target.
+
+The counts grow with the corpus and are held nowhere whole. Each task counts the names of its chunks of documents; the
+counts are summed by ranges of names, and every chunk is answered with the sums of its own names. Words and bigrams are
+named by 64-bit hashes.
 
 Edge cases: a null or empty text has no tokens and null scores; repeated rows are counted and scored each; an empty
 target leaves the target model uniform over the vocabulary; columns beyond doc_id and text are ignored.
@@ -12,157 +15,186 @@ target leaves the target model uniform over the vocabulary; columns beyond doc_i
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, heaviest, map_slices, texts
+from .frames import arrow_schema, map_slices, texts, written
 from .lattice import Known
 
-#: Words of the vocabulary, at most; number 0 is the unknown word, and the last number stands before a text's first word.
-VOCABULARY = 50_000
-#: Cells of the hashed bigram table, as a power of two: what is sent to executors is bounded by this.
-CELL_BITS = 21
+#: Tokens and documents of a chunk, about: these bound a task's memory.
+CHUNK, CHUNK_DOCS = 1_500_000, 100_000
+#: Characters of text to a range of names, about.
+RANGE_CHARS = 8_000_000
 #: Weight of the unigrams in a bigram's chance, in tokens.
 BACK_OFF = 4.0
+#: What stands before a text's first word: the name of the empty word, which no text has.
+START = np.uint64(xxhash.xxh3_64_intdigest(b""))
+#: A chunk's texts: its words' names, and its tokens as places among them.
+_CHUNK = "chunk long, aim boolean, n long, n_names long, names binary, ids array<long>, lens array<int>, places binary"
+#: A chunk's names and counts by range (part), with pairs for bigrams.
+_NAMES = "chunk long, part long, aim boolean, pairs boolean, n long, names binary, counts binary"
+_ANSWER = "chunk long, part long, pairs boolean, n long, n_words long, own binary, aimed binary"
+_SCORE = "doc_id long, n_tokens long, ce_target double, ce_background double, score double"
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def tokens(text: str) -> list[str]:
     return text.lower().split()
 
 
-def word_counts(df: DataFrame, flush: int = 150_000) -> DataFrame:
-    """word and n over all rows."""
-
-    def make():
-        known, total = Known(), np.zeros(flush * 2, np.int64)
-
-        class Counting:
-            def __call__(self, b):
-                nonlocal total
-                at = known.numbers([w for t in texts(b) for w in tokens(t)])
-                n = np.bincount(at, minlength=1)
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n), np.int64)])
-                total[: len(n)] += n
-                return self.end() if len(known) > flush else None
-
-            def end(self):
-                if not known:
-                    return None
-                out = {"word": list(known), "n": total[: len(known)].copy()}
-                known.clear()
-                known.new.clear()
-                total[:] = 0
-                return out
-
-        return Counting()
-
-    return map_slices(df, make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
+def _before(at: np.ndarray, lens: np.ndarray, start: int) -> np.ndarray:
+    """The place before each; start before the first of each text."""
+    before = np.r_[start, at[:-1]] if len(at) else at
+    before[(np.cumsum(lens) - lens)[lens > 0]] = start
+    return before
 
-def vocabulary(background: DataFrame, target: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """At most `size` words, half of them for the target's; of equally frequent words all or none."""
-    top = lambda df, n: sorted(heaviest(cut(word_counts(df)), "n", n).toArrow().column("word").to_pylist())
-    own = top(target, size // 2)
-    seen = set(own)
-    return own + [w for w in top(background, size - len(own)) if w not in seen]
 
+def _bigrams(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = (before ^ (before >> np.uint64(29))) * _C1 + word
+    h = (h ^ (h >> np.uint64(31))) * _C2
+    return h ^ (h >> np.uint64(30))
 
-def _cells(before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    h = (before.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, of which most are zero, compressed."""
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
 
-def _numbered(batch, numbers: dict, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice's texts: word numbers, the numbers before them, and words per text."""
-    words = [tokens(t) for t in texts(batch)]
-    n = np.array([len(x) for x in words], np.int64)
-    get = numbers.get
-    at = np.fromiter((get(w, 0) for x in words for w in x), np.int64, int(n.sum()))
-    before = np.r_[start, at[:-1]] if len(at) else at
-    before[(np.cumsum(n) - n)[n > 0]] = start
-    return at, before, n
 
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 8 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
 
-class Model:
-    """Unigram and bigram counts of a table."""
 
-    def __init__(self, uni: np.ndarray, bi: np.ndarray):
-        self.uni, self.bi = uni, bi
+def _steps(names: np.ndarray) -> np.ndarray:
+    """Sorted names as differences; np.cumsum takes them back."""
+    return np.diff(names, prepend=np.uint64(0))
 
 
-def counted(df: DataFrame, words: list[str], bits: int = CELL_BITS) -> Model:
-    """Counts over all rows: each task sums into its own arrays and hands on the cells that are not zero."""
-    sent = df.sparkSession.sparkContext.broadcast(words)
-    size = len(words) + 2
+def chunked(df: DataFrame, aim: bool) -> DataFrame:
+    """The chunks of df (doc_id, text), as _CHUNK tells."""
 
     def make():
-        numbers = {w: i + 1 for i, w in enumerate(sent.value)}
-        total = np.zeros(size + (1 << bits), np.int64)
+        known, held, ids, lens = Known(), [], [], []
+
+        class Chunks:
+            size = chunks = 0
 
-        class Counting:
             def __call__(self, b):
-                at, before, texts_of = _numbered(b, numbers, size - 1)
-                total[size - 1] += np.count_nonzero(texts_of)
-                if len(at):
-                    cell, n = np.unique(np.r_[at, size + _cells(before, at, bits)], return_counts=True)
-                    total[cell] += n
+                words = [tokens(t) for t in texts(b)]
+                held.append(known.numbers(list(chain.from_iterable(words))).astype(np.int32))
+                lens.extend(map(len, words))
+                ids.extend(b.column("doc_id").to_pylist())
+                self.size += len(held[-1])
+                return self.end() if self.size >= CHUNK or len(lens) >= CHUNK_DOCS else None
 
             def end(self):
-                cell = np.flatnonzero(total)
-                return {"cell": cell, "n": total[cell]} if len(cell) else None
-
-        return Counting()
+                if not lens:
+                    return None
+                own = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in known), np.uint64, len(known))
+                names, place = np.unique(np.r_[own, START], return_inverse=True)
+                at = place[np.concatenate(held)]
+                out = {"chunk": TaskContext.get().partitionId() << 24 | self.chunks, "aim": aim, "n": len(at), "n_names": len(names), "names": _packed(_steps(names)), "ids": list(ids), "lens": list(lens), "places": _packed(at)}
+                known.clear()
+                for x in (known.new, held, ids, lens):
+                    x.clear()
+                self.size, self.chunks = 0, self.chunks + 1
+                return {k: [v] for k, v in out.items()}
 
-    summed = cut(map_slices(df, make, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))
-    total = np.zeros(size + (1 << bits))
-    got = summed.toArrow()  # a row per cell at most
-    total[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return Model(total[:size].astype(np.float32), total[size:].astype(np.float32))
+        return Chunks()
 
+    return map_slices(df, make, _CHUNK)
 
-class Scorer:
-    def __init__(self, m: Model, scale: float):
-        self.bi, self.scale, self.context = m.bi, scale, m.uni.astype(float) * scale
-        own = self.context[:-1] + 0.5
-        self.uni = own / own.sum()
 
-    def loss(self, before: np.ndarray, word: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        both = np.minimum(self.bi[cells] * self.scale, self.context[before])  # a cell may hold other bigrams too
-        return -np.log((both + BACK_OFF * self.uni[word]) / (self.context[before] + BACK_OFF))
+def _read(chunk: dict) -> tuple[np.ndarray, ...]:
+    """Of a chunk: the words' names, tokens, the places before them, and tokens per text."""
+    lens, names = np.array(chunk["lens"], np.int64), np.cumsum(_unpacked(chunk["names"], chunk["n_names"]), dtype=np.uint64)
+    at = _unpacked(chunk["places"], chunk["n"]).astype(np.int64)
+    return names, at, _before(at, lens, int(np.searchsorted(names, START))), lens
 
 
-def score(docs: DataFrame, target: DataFrame, size: int = VOCABULARY, bits: int = CELL_BITS) -> DataFrame:
-    """doc_id, n_tokens, ce_target, ce_background and score of every row of docs, the background."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    aim = target.select(F.col("text").cast("string").alias("text"))
-    words = vocabulary(own.select("text"), aim, size)
-    t, g = counted(aim, words, bits), counted(own.select("text"), words, bits)
-    scale = float(t.uni[:-1].sum() / g.uni[:-1].sum()) if g.uni[:-1].sum() and t.uni[:-1].sum() else 1.0
-    sent = docs.sparkSession.sparkContext.broadcast((words, t, g, scale))
+def named(chunks: DataFrame, parts: int) -> DataFrame:
+    """The names of chunks with their counts, as _NAMES tells."""
 
     def make():
-        words, t, g, scale = sent.value
-        numbers = {w: i + 1 for i, w in enumerate(words)}
-        models = Scorer(t, 1.0), Scorer(g, scale)
-
         def fn(b):
-            at, before, n = _numbered(b, numbers, len(words) + 1)
-            cells = _cells(before, at, bits)
-            full = np.flatnonzero(n)
+            (chunk,) = b.to_pylist()
+            names, at, before, lens = _read(chunk)
+            counts = np.bincount(at, minlength=len(names))
+            counts[np.searchsorted(names, START)] += np.count_nonzero(lens)
             out = []
-            for m in models:
-                x = np.zeros(len(n))
-                if len(full):
-                    x[full] = np.add.reduceat(m.loss(before, at, cells), (np.cumsum(n) - n)[full]) / n[full]
-                out.append(x)
-            none = n == 0
-            put = lambda x: [None if e else v for e, v in zip(none.tolist(), x.tolist(), strict=True)]
-            return {"doc_id": b.column("doc_id"), "n_tokens": n, "ce_target": put(out[0]), "ce_background": put(out[1]), "score": put(out[0] - out[1])}
+            for pairs, (x, k) in ((False, (names, counts)), (True, np.unique(_bigrams(names[before], names[at]), return_counts=True))):
+                part = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the name
+                ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True][: len(x)]) + 1
+                out += [(chunk["chunk"], int(part[i]), chunk["aim"], pairs, j - i, _packed(_steps(x[i:j])), _packed(k[i:j])) for i, j in zip([0, *ends.tolist()], ends.tolist())]
+            return dict(zip(("chunk", "part", "aim", "pairs", "n", "names", "counts"), map(list, zip(*out)), strict=True))
 
         return fn
 
-    return map_slices(own, make, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
+    return map_slices(chunks, make, _NAMES, 1)
+
+
+def _summed(t: pa.Table, schema: pa.Schema) -> pa.Table:
+    """A range's sums over all chunks, dealt back to the background's chunks; and how many words it has."""
+    rows = t.to_pylist()
+    out, n_words = [], 0
+    for pairs in (False, True):
+        own = [r for r in rows if r["pairs"] == pairs]
+        if not own:
+            continue
+        held = [np.cumsum(_unpacked(r["names"], r["n"]), dtype=np.uint64) for r in own]
+        counts = np.concatenate([_unpacked(r["counts"], r["n"]) for r in own])
+        distinct, at = np.unique(np.concatenate(held), return_inverse=True)
+        aim = np.repeat([r["aim"] for r in own], [len(x) for x in held])
+        # whole numbers: exact below 2^53
+        background, target = (np.bincount(at[x], counts[x], len(distinct)).astype(np.int64) for x in (~aim, aim))
+        if not pairs:
+            n_words = int(np.count_nonzero(distinct != START))
+        end = 0
+        for r, x in zip(own, held):
+            mine = at[end : end + len(x)]
+            end += len(x)
+            if not r["aim"]:
+                out.append({"chunk": r["chunk"], "part": r["part"], "pairs": pairs, "n": len(x), "own": _packed(background[mine]), "aimed": _packed(target[mine])})
+    out.append({"n_words": n_words})
+    return pa.Table.from_pylist(out, schema)
+
+
+def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ce_target, ce_background and score of every row of docs, the background."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    aim = target.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = 1 + (own.agg(F.sum(F.length("text")).alias("n")).first().n or 0) // RANGE_CHARS
+    chunks = written(chunked(own, False).union(chunked(aim, True)))
+    answer, to = arrow_schema(_ANSWER), arrow_schema(_SCORE)
+    total = {r.aim: r.n for r in chunks.groupBy("aim").agg(F.sum("n").alias("n")).collect()}
+    answers = written(named(chunks, parts).groupBy("part").applyInArrow(lambda t: _summed(t, answer), _ANSWER))
+    n_own, n_aim = total.get(False) or 0, total.get(True) or 0
+    size = 1 + (answers.agg(F.sum("n_words").alias("n")).first().n or 0)  # with the unknown word
+    scale = n_aim / n_own if n_own and n_aim else 1.0
+
+    def scored(t: pa.Table) -> pa.Table:
+        text, *rows = sorted(t.to_pylist(), key=lambda r: r["part"])
+        names, at, before, lens = _read(text)
+        pairs, where = np.unique(_bigrams(names[before], names[at]), return_inverse=True)
+        full, none = np.flatnonzero(lens), (lens == 0).tolist()
+        out = []
+        for col, by, n in (("aimed", 1.0, n_aim), ("own", scale, n_own)):
+            uni, bi = (np.concatenate([np.zeros(0), *[_unpacked(r[col], r["n"]) for r in rows if r["pairs"] == k]]) * by for k in (False, True))
+            one = (uni + 0.5) / (n * by + 0.5 * size)
+            loss = -np.log((bi[where] + BACK_OFF * one[at]) / (uni[before] + BACK_OFF))
+            x = np.zeros(len(lens))
+            if len(full):
+                x[full] = np.add.reduceat(loss, (np.cumsum(lens) - lens)[full]) / lens[full]
+            out.append(x)
+        put = lambda x: [None if e else v for e, v in zip(none, x.tolist(), strict=True)]
+        got = text["ids"], lens, put(out[0]), put(out[1]), put(out[0] - out[1])
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(got, to)], schema=to)
+
+    asked = chunks.where("not aim").drop("aim").withColumn("part", F.lit(-1).cast("long"))
+    return asked.unionByName(answers.where("chunk is not null").drop("n_words"), allowMissingColumns=True).groupBy("chunk").applyInArrow(scored, _SCORE)

@@ -336,6 +336,31 @@ def test_lm_brute_force(spark):
         assert abs(got[i].ce_target - np.mean([t(*p) for p in zip(w, w[1:])])) < 1e-6 and abs(got[i].ce_background - np.mean([g(*p) for p in zip(w, w[1:])])) < 1e-6
 
 
+def test_lm_counts_every_word_and_bigram_apart(spark, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE_CHARS", 100_000)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(60_000)}" for _ in range(400))) for i in range(300)]
+    own, aims = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), [" ".join(f"w{i}" for i in range(30_000)), rows[0][1]]
+    got = {r.doc_id: r for r in lm.score(own, spark.createDataFrame([(x,) for x in aims], "text string")).collect()}
+    size = 1 + len({w for x in [*aims, *[x for _, x in rows]] for w in x.split()})
+    assert size > 55_000  # more words than a vocabulary that is cut at 50,000
+
+    def model(texts):
+        uni, bi = collections.Counter(), collections.Counter()
+        for t in texts:
+            w = ["^", *t.split()]
+            uni.update(w)
+            bi.update(zip(w, w[1:]))
+        return uni, bi, sum(c for k, c in uni.items() if k != "^")
+
+    t, g = model(aims), model([x for _, x in rows])
+    for i, x in rows:
+        w = ["^", *x.split()]
+        for name, (uni, bi, n), scale in (("ce_target", t, 1.0), ("ce_background", g, t[2] / g[2])):
+            loss = [-np.log((bi[p] * scale + lm.BACK_OFF * (uni[p[1]] * scale + 0.5) / (n * scale + 0.5 * size)) / (uni[p[0]] * scale + lm.BACK_OFF)) for p in zip(w, w[1:])]
+            assert abs(got[i][name] - np.mean(loss)) < 1e-6
+
+
 def test_mixing_meets_marginals(docs, odd, none):
     got = mixing.mix(docs, budget=0.4).toPandas()
     w = got.n_tokens * got.weight
