@@ -10,6 +10,9 @@ checked against one node per shared prefix shingle, the links found join compone
 between different components, until none is left to check. No link between components is lost, so the components are
 exact. Shingles and sets are named by 64-bit hashes.
 
+All links lie within components. There every two sets are compared, by blocks of sets: each set goes to as many tasks
+as its component has blocks, and a task gives the links of two blocks, or for each set how many rows it links to.
+
 Edge cases: a null text or one without words has an empty set, is linked with nothing and is its own component;
 repeated rows (same id) stay rows of one component; a null id never names a component unless all its ids are null;
 very long texts are sets like any other; columns beyond doc_id and text are ignored; an empty table gives no rows.
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut, discard, heaviest, map_slices, written
+from .frames import arrow_schema, cut, discard, heaviest, map_slices, written
 
 WIDTH = 4
 #: Two documents link when 100 * intersection >= PERCENT * union.
@@ -38,6 +41,8 @@ BLOOM_BITS = 26
 #: Pairs between components, over rows of prefixes, above which another round of single checks comes first.
 DENSE = 20.0
 ROUNDS = 2
+#: Sets in a block, about, and shingles compared at once.
+BLOCK, AT_ONCE = 512, 4096
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -249,8 +254,14 @@ def _pair(node: str, n: str, other: str, m: str) -> list[Column]:
     return [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in ((node, other, "a"), (other, node, "b"), (n, m, "na"), (m, n, "nb"))]
 
 
-def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+class Search:
+    """What the search for components leaves: own (doc_id, text), members (doc_id, n, node), leaders (node, doc_id), found (node, root), the order and the width."""
+
+    def __init__(self, **what):
+        self.__dict__.update(what)
+
+
+def searched(docs: DataFrame, width: int, percent: int) -> Search:
     sc = docs.sparkSession.sparkContext
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = written(surveyed(own, width))
@@ -308,10 +319,81 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
         ahead = (F.col("n") - F.col("pos") >= least) & (F.col("m") - F.col("at") >= least)
         pairs = rest.join(all_, "token").where((F.col("comp") != F.col("other")) & _close(F.col("n"), F.col("m"), percent) & ahead).select(*_pair("node", "n", "to", "m")).distinct()
         links, found = checked(pairs, links)
+    return Search(own=own, members=members, leaders=leaders, found=found, order=(frequent, rank), width=width, percent=percent)
+
 
-    placed = cut(members.join(found, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("comp")))
+def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return _grouped(searched(docs, width, percent)).drop("node")
+
+
+def _grouped(s: Search) -> DataFrame:
+    placed = cut(s.members.join(s.found, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("comp")))
     least = cut(placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")))
-    return placed.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return placed.join(least, "comp", "left").select("node", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links, the number of other rows that it links to, of every row."""
+    s = searched(docs, width, percent)
+    equal = s.members.where("node is not null").groupBy("node").agg(F.count("*").alias("rows"))
+    others = compared(s, False).groupBy("node").agg(F.sum("k").alias("k"))
+    n = cut(equal.join(others, "node", "left").select("node", (F.col("rows") - 1 + F.coalesce("k", F.lit(0))).alias("n_links")))
+    return _grouped(s).join(n, "node", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets: a, b, shared and union, a < b; and the rows of each set: doc_id and node. Rows of one set link too."""
+    s = searched(docs, width, percent)
+    return compared(s, True), s.members.select("doc_id", "node")
+
+
+def compared(s: Search, pairs: bool) -> DataFrame:
+    """Every two different sets of a component compared: the links a, b, shared and union, or k rows that node links to (a row per block met)."""
+    schema = "a long, b long, shared long, union long" if pairs else "node long, k long"
+    to, percent = arrow_schema(schema), s.percent
+    rows = s.members.where("node is not null").groupBy("node", "n").agg(F.count("*").alias("rows"))
+    placed = rows.join(s.found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    sizes = placed.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
+    placed = cut(placed.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    ends = cut(placed.select("node").join(s.leaders, "node"))
+    filters = bloom(ends.select("node")), bloom(ends.select(F.coalesce("doc_id", F.lit(0)).alias("node")))
+    sent = s.own.sparkSession.sparkContext.broadcast((*s.order, *filters))
+    sets = fragments(s.own, sent, s.width).groupBy("node", "part").agg(F.first("tokens").alias("tokens")).groupBy("node").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    met = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("comp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "n", "rows", "tokens")
+
+    def block(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        node, n, weight, at = (t.column(c).to_numpy() for c in ("node", "n", "rows", "block"))
+        tokens = t.column("tokens").combine_chunks()
+        _, place, often = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(node)), np.diff(tokens.offsets.to_numpy()))
+        # only shingles of several sets are shared
+        column = np.cumsum(often > 1) - 1
+        keep = often[place] > 1
+        owner, place = owner[keep], column[place[keep]]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        shared = np.zeros((len(node), len(node)), np.int64)
+        for low in range(0, int(place[-1]) + 1 if len(place) else 0, AT_ONCE):
+            i, j = np.searchsorted(place, (low, low + AT_ONCE))
+            x = np.zeros((len(node), AT_ONCE), np.float32)
+            x[owner[i:j], place[i:j] - low] = 1
+            shared += np.rint(x @ x.T).astype(np.int64)
+        union = n[:, None] + n[None, :] - shared
+        link = 100 * shared >= percent * union
+        np.fill_diagonal(link, False)
+        if t.column("one")[0] != t.column("two")[0]:
+            link &= at[:, None] != at[None, :]
+        if pairs:
+            i, j = np.nonzero(link & (node[:, None] < node[None, :]))
+            got = node[i], node[j], shared[i, j], union[i, j]
+        else:
+            got = node, link @ weight
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(got, to)], schema=to)
+
+    return met.groupBy("comp", "one", "two").applyInArrow(block, schema)
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -319,7 +401,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     # a row without an id is named by its text, beyond all usual ids
     nameless = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1 << 61))
     own = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), nameless))
-    stay = linked(own.select(F.col("_key").alias("doc_id"), "text"), width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    stay = grouped(own.select(F.col("_key").alias("doc_id"), "text"), width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     return own.join(cut(stay), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 

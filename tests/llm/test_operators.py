@@ -205,6 +205,24 @@ def test_jaccard_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == df.columns
 
 
+def test_jaccard_gives_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(x if rng.random() > 0.01 else f"x{rng.randrange(10**6)}" for x in base) for _ in range(70)] + [" ".join(base)] * 3 + ["one two three four five", None, "one two three four five"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = {i: frozenset(_shingles(t)) for i, t in enumerate(texts)}
+    both = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    degree = collections.Counter(i for p in both for i in p)
+    assert len(both) > 3 * len(texts)  # far more links than a tree of them has
+    assert {r.doc_id: r.n_links for r in jaccard.linked(df).collect()} == {i: degree[i] for i in sets}
+    pairs, rows = jaccard.links(df)
+    node = {r.doc_id: r.node for r in rows.collect()}
+    got = pairs.collect()
+    assert len(got) == len({(r.a, r.b) for r in got})
+    assert {(r.a, r.b): (r.shared, r.union) for r in got} == {tuple(sorted((node[a], node[b]))): v for (a, b), v in both.items() if sets[a] != sets[b]}
+
+
 def test_jaccard_odd_rows(odd, none):
     got = jaccard.linked(odd).collect()
     assert len(got) == odd.count() and {r.component_id for r in got if r.doc_id == 3} == {3}
