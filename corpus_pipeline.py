@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from commitlens.llm import jaccard, langid, mixing, sampling, secrets
 from commitlens.llm.frames import documents, written
 
+#: Words of a shingle and least similarity, in percent, of the near copies that go.
+WIDTH, PERCENT = 5, 80
 #: The share of tokens that the mixing stage keeps.
 MIX_BUDGET = 0.9
 
@@ -22,7 +24,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return jaccard.deduplicated(docs)
+    return jaccard.deduplicated(docs, width=WIDTH, percent=PERCENT)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

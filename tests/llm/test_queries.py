@@ -43,3 +43,15 @@ def test_stages(spark, tmp_path):
         if i == 4:
             assert now == ids and at.where("not is_exact").count() == 0
     assert langid.UND == "und"
+
+
+def test_near_copies_between_the_bounds_go(spark):
+    base = [f"w{i}" for i in range(200)]
+    copy = [f"x{i}" if i in (30, 80, 130, 180) else w for i, w in enumerate(base)]
+    far = [f"y{i}" if i % 30 == 5 else w for i, w in enumerate(base)]
+    texts = [" ".join(x) for x in (base, copy, far)]
+    sets = [[{tuple(t.split()[i : i + k]) for i in range(201 - k)} for t in texts] for k in (5, 4)]
+    like = [[len(a[0] & x) / len(a[0] | x) for x in a[1:]] for a in sets]
+    assert like[0][0] >= 0.8 and like[1][0] < 0.85 and like[0][1] < 0.8  # by five words a copy, by op5's bound none
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, df, oracle.SF).collect()} == {0, 2}
