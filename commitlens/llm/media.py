@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
 
@@ -137,11 +138,30 @@ def _ogg(d, at):
     return p - at if last else 0
 
 
+#: A PDF's header; what an update adds after an end starts with objects, a table or a trailer.
+_PDF_HEAD, _PDF_MORE = re.compile(rb"%PDF-[12]"), re.compile(rb"\s*(?:%[^\r\n]*[\r\n]\s*)*(?:\d+\s+\d+\s+obj\b|xref\b|trailer\b|startxref\b)")
+_PDF_LINEAR = re.compile(rb"\s*(?:%[^\r\n]*[\r\n]+\s*)*\d+\s+\d+\s+obj\s*<<(?=[^>]*/Linearized\b)[^>]*/L\s+(\d+)")
+
+
 def _pdf(d, at):
-    if d[at + 5 : at + 6] not in b"12" or d.find(b"startxref", at) < 0:
+    """Up to the last end that belongs to the file: each section of a linearized or updated file has one of its own."""
+    if d[at + 5 : at + 6] not in (b"1", b"2"):
         return 0
-    end = d.find(b"%%EOF", d.find(b"startxref", at))
-    return end + 5 - at if end >= 0 else 0
+    start, end = d.find(b"startxref", at), 0
+    if linear := _PDF_LINEAR.match(d, at + 8, at + 2048):
+        whole = at + int(linear[1])
+        if whole <= len(d) and d.rfind(b"%%EOF", max(at, whole - 16), whole) >= 0:
+            end = d.rfind(b"%%EOF", at, whole) + 5
+            start = d.find(b"startxref", end) if _PDF_MORE.match(d, end) else -1
+    while start >= 0 and (here := d.find(b"%%EOF", start)) >= 0:
+        head = _PDF_HEAD.search(d, end or at + 5, here)
+        if end and head:
+            break  # of another file
+        end = here + 5
+        if not _PDF_MORE.match(d, end):
+            break
+        start = d.find(b"startxref", end)
+    return end - at if end else 0
 
 
 def _gzip(d, at):

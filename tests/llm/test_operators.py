@@ -273,6 +273,24 @@ def test_sniffing_carves_and_rejects(spark):
     assert got[2].media_type == media.UNKNOWN and got[3].media_type == media.UNKNOWN and not got[3].carved
 
 
+def test_sniffing_takes_whole_pdfs(spark):
+    jpeg = b"\xff\xd8\xff\xe0\0\x10JFIF\0\1\1\0\0\1\0\1\0\0\xff\xda\0\x08\1\1\0\0?\0\0\xff\xd9"
+    end = lambda n: b"xref\n0 1\ntrailer\n<</Size 1>>\nstartxref\n%d\n%%%%EOF\n" % n
+    image = b"7 0 obj\n<</Length %d>>\nstream\n" % len(jpeg) + jpeg + b"\nendstream\nendobj\n"
+    one = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n" + end(9)
+    updated = one + image + end(40) + b"\n" + image + end(60)
+    head = b"%%PDF-1.5\n%%\xe2\xe3\xcf\xd3\n3 0 obj\n<</Linearized 1/L %06d/H[1 2]/O 5/E 9/N 1/T 9>>\nendobj\n"
+    rest = end(0) + image + end(9)
+    linear = head % (len(head % 0) + len(rest)) + rest
+    for pdf in (one, updated, linear, linear + image + end(5)):
+        whole = len(pdf) - 1  # without the last line's end
+        assert media.sniff(b"junk " + pdf + b"tail") == [(5, whole, "application/pdf")]
+        assert media.sniff(b"junk " + pdf + one) == [(5, whole, "application/pdf"), (5 + len(pdf), len(one) - 1, "application/pdf")]
+    got = media.sniffed(spark.createDataFrame([(1, None, bytearray(media.wav(updated)))], "media_id long, declared string, content binary")).first()
+    assert [(c.media_type, bytes(c.content)) for c in got.carved] == [("application/pdf", updated[:-1])]
+    assert media.sniff(b"%PDF-") == [] and media.sniff(b"%PDF-1.4 startxref") == []
+
+
 def _rules(t):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
     lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
