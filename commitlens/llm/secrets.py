@@ -1,8 +1,8 @@
 """Secret scans, all in DataFrame functions.
 
 Three plain patterns give the base spans. Beyond them, character Markov models of random strings and of ordinary
-identifiers are compared: a run of token characters whose log-likelihood ratio is high enough, and that no base span
-touches, is a span of kind markov. Both models are bigram tables learnt from labelled samples: random strings made by
+identifiers are compared: what base spans leave of a run of token characters is a span of kind markov if its
+log-likelihood ratio is high enough, and else those stretches of it are whose ratio is. Both models are bigram tables learnt from labelled samples: random strings made by
 hashing, and words and joined words of a bounded sample of documents.
 
 Positions count code points; ends are exclusive. They come from marks put around the matches: lengths between marks
@@ -38,6 +38,8 @@ PHRASES = ["get value", "user name", "file path", "max retry count", "is valid",
 #: Least log-likelihood ratio, in nats, and least of its mean per character.
 LLR = 25.0
 LLR_PER_CHAR = 1.2
+#: How far, in nats, a sum may fall below its best before its stretch is ended.
+DROP = 12.0
 _BLOCK = 128
 
 
@@ -113,10 +115,64 @@ def fit(samples: DataFrame, smoothing: float = 0.5, letters: int = 66) -> list[f
     return [math.log(chance(1, i) / chance(0, i)) for i in range(16384)]
 
 
-def ratio(token: Column, table: list[float]) -> Column:
-    """The log-likelihood ratio of a token."""
+def scores(value: Column, table: list[float]) -> Column:
+    """The log-likelihood ratio of each character of value given the one before."""
     cells = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
-    return let(F.transform(F.split(token, ""), lambda c: F.least(F.ascii(c), F.lit(127))), lambda code: F.aggregate(F.transform(code, lambda c, i: F.get(cells, F.when(i == 0, 0).otherwise(F.get(code, i - 1)) * 128 + c)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
+    return let(F.transform(F.split(value, ""), lambda c: F.least(F.ascii(c), F.lit(127))), lambda code: F.transform(code, lambda c, i: F.coalesce(F.get(cells, F.when(i == 0, 0).otherwise(F.get(code, i - 1)) * 128 + c), F.lit(0.0))))
+
+
+_SPAN = "array<struct<start:int,end:int>>"
+_STATE = "struct<i:int,sum:double,start:int,best:double,end:int,out:" + _SPAN + ">"
+
+
+def _unlikely(llr: Column, n: Column) -> Column:
+    return (llr >= LLR) & (llr >= LLR_PER_CHAR * n)
+
+
+def _segments(score: Column, value: Column) -> Column:
+    """The stretches of value that look random: those of largest sum, widened to the letters and digits they stand in."""
+
+    def state(i, sum_, start, best, end, out) -> Column:
+        return F.struct(i.alias("i"), sum_.alias("sum"), start.alias("start"), best.alias("best"), end.alias("end"), out.alias("out")).cast(_STATE)
+
+    def out(a: Column) -> Column:
+        return F.when(_unlikely(a["best"], a["end"] - a["start"]), F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end"))).cast(_SPAN))).otherwise(a["out"])
+
+    def step(a: Column, x: Column) -> Column:
+        fresh = a["sum"] <= 0
+        now = F.when(fresh, x).otherwise(a["sum"] + x)
+        more = fresh | (now > a["best"])
+        grown = state(a["i"] + 1, now, F.when(fresh, a["i"]).otherwise(a["start"]), F.when(more, now).otherwise(a["best"]), F.when(more, a["i"] + 1).otherwise(a["end"]), a["out"])
+        # ended where the sum is used up, or far below its best
+        return let(grown, lambda g: F.when((g["sum"] <= 0) | (g["best"] - g["sum"] >= DROP), state(g["i"], F.lit(0.0), g["start"], F.lit(0.0), g["end"], out(g))).otherwise(g))
+
+    none = F.array().cast(_SPAN)
+    zero = state(F.lit(0), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), none)
+    found = F.aggregate(score, zero, step, out)
+    chunks = F.translate(value, "+/_=-", "     ")
+    wide = let(chunks, lambda v: F.transform(found, lambda s: F.struct(
+        (s["start"] - F.length(F.substring_index(F.substring(v, F.lit(1), s["start"]), " ", -1))).alias("start"),
+        (s["end"] + F.length(F.substring_index(F.substring(v, s["end"] + 1, F.length(v)), " ", 1))).alias("end"),
+    )))
+    last = lambda a: F.get(a, F.size(a) - 1)
+    joined = F.aggregate(wide, none, lambda a, s: F.when((F.size(a) > 0) & (last(a)["end"] >= s["start"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s))).cast(_SPAN))
+    return F.filter(joined, lambda s: s["end"] - s["start"] >= LEAST["markov"])
+
+
+def random_spans(value: Column, table: list[float]) -> Column:
+    """start and end of what looks random in value: all of it, or else its stretches."""
+    sums = lambda score, of: F.aggregate(score, F.lit(0.0), lambda a, x: a + of(x))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(value).alias("end"))).cast(_SPAN)
+    none = F.array().cast(_SPAN)
+    return let(scores(value, table), lambda x: F.when(_unlikely(sums(x, lambda v: v), F.length(value)), whole).when(sums(x, lambda v: F.greatest(v, F.lit(0.0))) < LLR, none).otherwise(_segments(x, value)))
+
+
+def left_over(run: Column, base: Column) -> Column:
+    """start and end of what base spans leave of a run, where long enough."""
+    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    piece = lambda a, to: F.when(to - a["at"] >= LEAST["markov"], F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), to.alias("end"))).cast(_SPAN))).otherwise(a["out"])
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out")).cast("struct<at:int,out:" + _SPAN + ">")
+    return F.aggregate(over, state(run["start"], F.array().cast(_SPAN)), lambda a, b: state(F.greatest(a["at"], b["end"]), piece(a, b["start"])), lambda a: piece(a, run["end"]))
 
 
 def scanned(docs: DataFrame, table: list[float], text: str = "text") -> DataFrame:
@@ -126,9 +182,10 @@ def scanned(docs: DataFrame, table: list[float], text: str = "text") -> DataFram
         df = with_spans(df, "_text", pattern, kind, f"_{kind}")
     bare = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     df = df.withColumn("_base", F.array_sort(F.concat(bare("_assign"), bare("_access"), bare("_hex"))))
-    free = F.filter("_markov", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    df = df.withColumn("_markov", F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), ratio(s["value"], table).alias("llr"))))
-    df = df.withColumn("_markov", F.filter("_markov", lambda s: (s["llr"] >= LLR) & (s["llr"] >= LLR_PER_CHAR * (s["end"] - s["start"]))))
+    runs = F.transform("_markov", lambda r: F.transform(left_over(r, F.col("_base")), lambda p: F.struct(p["start"].alias("start"), F.substring(r["value"], p["start"] - r["start"] + 1, p["end"] - p["start"]).alias("value"))))
+    df = df.withColumn("_markov", F.flatten(runs))
+    found = F.transform("_markov", lambda p: F.transform(random_spans(p["value"], table), lambda s: F.struct((p["start"] + s["start"]).alias("start"), F.lit(KINDS.index("markov")).alias("kind"), (p["start"] + s["end"]).alias("end"))))
+    df = df.withColumn("_markov", F.flatten(found))
     return df.withColumn("_spans", F.array_sort(F.concat("_base", bare("_markov")))).drop("_assign", "_access", "_hex", "_markov")
 
 

@@ -92,6 +92,26 @@ def test_secrets_markov_and_redaction(spark, docs):
     assert got[1][0].startswith("id [secret] and getUser") and got[2][0] == 'é "[secret]" end' and got[2][1] == 16 and got[3] == (None, None)
 
 
+def test_secrets_joined_to_ordinary_text(spark, docs):
+    table = secrets.fit(secrets.labelled_samples(docs))
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    path = "home/user/projects/data/configuration/default/settings/application/"
+    around = [("", ""), ("long_setting_name_for_service=", ""), ("payment_service_client_credential_value=", ""), (path, ""), (path, "/index/page/default/config"), ("token=abcdefgh.", " password: abcdefghij/x")]
+    cases = [(i, a, key(n), b) for i, (a, b, n) in enumerate((a, b, n) for a, b in around for n in (24, 32) for _ in range(20))]
+    df = spark.createDataFrame([(i, f"see {a}{k}{b} end") for i, a, k, b in cases], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(df, table).collect()}
+    assert np.mean([k not in got[i] for i, _, k, _ in cases]) >= 0.95
+    # the ordinary text around stays where the run as a whole is no secret
+    assert any(path in got[i] for i, a, _, _ in cases if a == path)
+    # what a base span leaves of a run
+    hexes = "0123456789abcdef" * 2
+    text = f"{key(30)}_{hexes}-{key(30)}"
+    assert secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), table).first().spans == "markov:0:31,hex:31:63,markov:63:94"
+    plain = [f"see {path}index_page.html and long_setting_name_for_service=default-config-value-of-application/file/path"]
+    assert secrets.scan(spark.createDataFrame([(1, plain[0])], "doc_id long, text string"), table).first().spans == ""
+
+
 def test_language_held_out(docs, odd, none):
     got = langid.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) >= 0.97
