@@ -40,10 +40,13 @@ def prepared(docs: DataFrame, topic: str | None = None) -> DataFrame:
     return df.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("(none)")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("(none)")), "_topic": F.coalesce(own, F.lit("(none)")), "_u": u})
 
 
-def pooled(cells: DataFrame, most: dict[str, int] = MOST) -> DataFrame:
-    """Cells with the lighter values of each dimension as (other), added to each value's own name: _source_as and so on."""
+def pooled(cells: DataFrame, most: dict[str, int] = MOST, named: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """Cells with the lighter values of each dimension as (other), added to each value's own name: _source_as and so on. Named values are kept however light."""
     for k, n in most.items():
-        top = cells.groupBy(f"_{k}").agg(F.sum("w").alias("_w")).orderBy(F.desc("_w"), f"_{k}").limit(n).select(F.col(f"_{k}").alias("_name"))
+        sums = cells.groupBy(f"_{k}").agg(F.sum("w").alias("_w"))
+        top = sums.orderBy(F.desc("_w"), f"_{k}").limit(n).select(F.col(f"_{k}").alias("_name"))
+        if own := list((named or {}).get(k, ())):
+            top = top.union(sums.where(F.col(f"_{k}").isin(own)).select(f"_{k}")).distinct()
         cells = cells.join(F.broadcast(top), F.col(f"_{k}") == F.col("_name"), "left").withColumn(f"_{k}_as", F.coalesce("_name", F.lit("(other)"))).drop("_name")
     return cells
 
@@ -94,7 +97,7 @@ def fit(cells: DataFrame, flatten: float = FLATTEN, rounds: int = ROUNDS, budget
 def weighed(docs: DataFrame, topic: str | None = None, most: dict[str, int] = MOST, **how) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, _factor, _p (the chance) and _taken."""
     df = prepared(docs, topic)
-    cells = cut(pooled(df.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("w")), most))
+    cells = cut(pooled(df.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("w")), most, how.get("targets")))
     fitted = cut(fit(cells, **how))  # bounded by the pooled names
     if _within(cells, _CELLS):
         # a cell for each combination of values, checked to be few

@@ -435,3 +435,11 @@ def test_mixing_targets(docs):
     got = mixing.mix(docs, targets={"lang": {"en": 0.25, "de": 0.25, "fr": 0.25, "es": 0.25}}, rounds=60).toPandas()
     w = (got.n_tokens * got.weight).groupby(got.lang).sum()
     assert (w / w.sum() - 0.25).abs().max() < 0.01
+
+
+def test_mixing_targets_of_light_values(spark):
+    rows = [(i, "w " * (1 if i % 4 == 0 else 50), "en", f"s{i % 4}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df, targets={"source": {"s0": 0.1, "s1": 0.9}}, most={"source": 1, "lang": 1, "topic": 1}).toPandas()
+    w = (got.n_tokens * got.weight).groupby(got.source).sum() / (got.n_tokens * got.weight).sum()
+    assert abs(w["s0"] - 0.1) < 0.01 and abs(w["s1"] - 0.9) < 0.01
