@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Rows handled at once inside an Arrow batch, so that work arrays stay small whatever the batch size.
-SLICE_ROWS = 256
+#: Rows, and bytes of strings, handled at once inside an Arrow batch, so that work arrays stay small whatever the batch
+#: size; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 8_000_000
 
 
 def arrow_schema(schema: str | StructType) -> pa.Schema:
@@ -21,8 +25,22 @@ def arrow_schema(schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
-def map_slices(df: DataFrame, make, schema: str | StructType, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """df through fn = make(), called in each task: fn(batch of at most slice_rows rows) gives a dict of columns or None.
+def slices(batch: pa.RecordBatch, rows: int, size: int):
+    """batch in slices of at most `rows` rows and, unless one row is longer, `size` bytes of strings."""
+    n = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            n += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(n), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, size + (upto[at - 1] if at else 0), side="right"))
+        end = min(at + rows, max(at + 1, end))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def map_slices(df: DataFrame, make, schema: str | StructType, slice_rows: int = SLICE_ROWS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """df through fn = make(), called in each task: fn(a slice as slices() cuts them) gives a dict of columns or None.
 
     A fn with an attribute `end` is asked for end() once its partition is over.
     """
@@ -31,8 +49,8 @@ def map_slices(df: DataFrame, make, schema: str | StructType, slice_rows: int =
     def run(batches):
         fn = make()
         for b in batches:
-            for at in range(0, b.num_rows, slice_rows):
-                if (got := fn(b.slice(at, slice_rows))) is not None:
+            for part in slices(b, slice_rows, slice_bytes):
+                if (got := fn(part)) is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, got[f.name]) for f in out)], schema=out)
         if hasattr(fn, "end") and (got := fn.end()) is not None:
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
@@ -46,10 +64,12 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where none is named, as in tests."""
+    """The cluster's shared folder; where none is named, a local one in local mode, as in tests, and an error on a cluster."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         at = tempfile.mkdtemp(prefix="commitlens-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)

@@ -9,8 +9,7 @@ import numpy as np
 #: Where the public vocabularies are; a parameter of every operator that reads one.
 VOCAB = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
+_BASE, _MIX, _ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
 class Vocabulary:
@@ -36,30 +35,33 @@ class Vocabulary:
         self._index()
 
     def _index(self) -> None:
-        ids = [i for i, k in enumerate(self.kinds) if k == "piece"]
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(ids)) * 4))))
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.vals = np.full(1 << self.bits, -1, np.int32)
-        with np.errstate(over="ignore"):
-            for i in ids:
-                h = np.uint64(0)
+        held = {}
+        for i, k in enumerate(self.kinds):
+            if k == "piece":
+                h = 0
                 for c in self.pieces[i]:
-                    h = h * _BASE + np.uint64(ord(c) + 1)
-                at = int((h * _MIX) >> np.uint64(64 - self.bits))
-                while self.vals[at] >= 0:
-                    at = (at + 1) & ((1 << self.bits) - 1)
-                self.keys[at], self.vals[at] = h, i
+                    h = (h * _BASE + ord(c) + 1) & _ALL
+                    held.setdefault(h, -2)  # the start of a piece
+                held[h] = i
+        self.bits = max(4, (2 * len(held)).bit_length())
+        keys, vals, most = [0] * (1 << self.bits), [-1] * (1 << self.bits), (1 << self.bits) - 1
+        for h, i in held.items():
+            at = ((h * _MIX) & _ALL) >> (64 - self.bits)
+            while vals[at] != -1:
+                at = (at + 1) & most
+            keys[at], vals[at] = h, i
+        self.keys, self.vals = np.array(keys, np.uint64), np.array(vals, np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece ids of substring hashes, -1 where there is none."""
-        at = ((h * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+        """Piece ids of substring hashes; -2 where a longer piece starts so, -1 where none does."""
+        at = ((h * np.uint64(_MIX)) >> np.uint64(64 - self.bits)).astype(np.int64)
         out = self.vals[at]
-        miss = np.flatnonzero((out >= 0) & (self.keys[at] != h))
+        miss = np.flatnonzero((out != -1) & (self.keys[at] != h))
         while len(miss):
             at[miss] = (at[miss] + 1) & ((1 << self.bits) - 1)
             v = self.vals[at[miss]]
             out[miss] = v
-            miss = miss[(v >= 0) & (self.keys[at[miss]] != h[miss])]
+            miss = miss[(v != -1) & (self.keys[at[miss]] != h[miss])]
         return out
 
 
@@ -92,6 +94,15 @@ class Box:
         return _BUILT[key]
 
 
+def _ordered(key: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """The order by key, and by `within` among equal keys; keys are whole numbers from 0."""
+    first = np.argsort(within, kind="stable")
+    key = key[first]
+    if len(key) and key.max() < 1 << 16:
+        key = key.astype(np.uint16)  # sorted by digits
+    return first[np.argsort(key, kind="stable")]
+
+
 class Lattice:
     """All piece edges of a list of words. Node k of word w is start[w] + w + k; an edge of a character without a piece has id -1."""
 
@@ -110,11 +121,12 @@ class Lattice:
         h, at = np.zeros(n, np.uint64), np.arange(n)
         for k in range(1, v.longest + 1):
             if k > 1:
-                at = at[room[at] >= k]
+                on = np.flatnonzero((ids != -1) & (room[at] >= k))
+                at, h = at[on], h[on]
             if not len(at):
                 break
-            h[at] = h[at] * _BASE + cp[at + k - 1] + np.uint64(1)
-            ids = v.find(h[at])
+            h = h * np.uint64(_BASE) + cp[at + k - 1] + np.uint64(1)
+            ids = v.find(h)
             hit = ids >= 0
             if k == 1:
                 src.append(at)
@@ -161,13 +173,13 @@ class Lattice:
         out = np.full((self.nodes, *w.shape[1:]), -np.inf)
         out[self.first] = 0.0
         end = self.rel + self.length
-        return self._sweep(np.lexsort((self.dst, end)), self.dst, self.src, end, w, out)
+        return self._sweep(_ordered(end, self.dst), self.dst, self.src, end, w, out)
 
     def backward(self, w: np.ndarray) -> np.ndarray:
         """Log mass of all segmentations from each node to its word's end."""
         out = np.full((self.nodes, *w.shape[1:]), -np.inf)
         out[self.last] = 0.0
-        return self._sweep(np.lexsort((self.src, -self.rel)), self.src, self.dst, self.rel, w, out)
+        return self._sweep(_ordered(self.rel.max(initial=0) - self.rel, self.src), self.src, self.dst, self.rel, w, out)
 
 
 class Known(dict):

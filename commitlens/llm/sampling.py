@@ -9,7 +9,8 @@ what branches off it at every later choice. Only as many sets as samples are sti
 
 The (k + 1)-th maximum is the threshold for inclusion scores: log(1 - exp(-exp(log p - threshold))); 0 where no
 segmentation is left. Pieces join spaces only to what follows and never hold a line end, so the lattice of a text is the
-lattices of its chunks, which are built once per worker.
+lattices of its chunks. A worker keeps those it met first, up to a bound of nodes, and builds others anew where they are
+met; texts are taken in slices of bounded length, so that its memory doesn't grow with what it reads.
 
 Edge cases: a null or empty text has one segmentation, the empty one, with scores 0; a text with fewer than k
 segmentations gives them all; repeated rows (same id) draw the same noise; a null id is seeded by its text alone. The
@@ -31,8 +32,10 @@ from .lattice import SPACE, VOCAB, Box, Known, Lattice, Vocabulary, gather
 
 K = 2
 SHARPNESS = 1.0
-#: Nodes held per worker.
-HELD = 3_000_000
+#: Nodes of the lattices that a worker keeps, and how many it builds besides before it starts anew.
+HELD, ANEW = 1_200_000, 60_000_000
+#: Characters whose lattice is built at once, and bytes of the texts in a slice, about.
+AT_ONCE, SLICE_BYTES = 60_000, 500_000
 _CHUNKS = re.compile(f"{SPACE}*(?:\n|[^{SPACE}\n]+)|{SPACE}+")
 #: Stands for a literal mark while the spaces are marks; it has no piece.
 _STAND_IN = "\U0010fffe"
@@ -73,7 +76,7 @@ class Flat:
 
     def add(self, x: np.ndarray) -> None:
         if self.n + len(x) > len(self.held):
-            self.held = np.concatenate([self.held[: self.n], np.zeros(self.n + 2 * len(x) + 4096, self.held.dtype)])
+            self.held = np.concatenate([self.held[: self.n], np.zeros(self.n // 4 + len(x) + 4096, self.held.dtype)])
         self.held[self.n : self.n + len(x)] = x
         self.n += len(x)
 
@@ -82,6 +85,23 @@ class Flat:
         return self.held[: self.n]
 
 
+class Chunks(Known):
+    """Numbers of chunks; once full, those of others are in `passing`."""
+
+    def __init__(self):
+        super().__init__()
+        self.full, self.passing = False, {}
+
+    def __missing__(self, key):
+        if not self.full:
+            return super().__missing__(key)
+        i = self.passing.get(key)
+        if i is None:
+            i = self.passing[key] = len(self) + len(self.passing)
+            self.new.append(key)
+        return i
+
+
 class Paths:
     """Choices at each node of the chunks seen, held flat: an edge's chance, target and piece.
 
@@ -96,62 +116,86 @@ class Paths:
         self.clear()
 
     def clear(self):
-        self.known = Known()
+        self.known, self.kept, self.extra = Chunks(), None, 0
         for x in self.flat.values():
             x.n = 0
         self.flat["lo"].add(np.zeros(1, np.int32))
 
-    def numbers(self, chunks: list[str]) -> np.ndarray:
-        """The chunks' numbers; the views of the arrays hold until the next call."""
-        f = self.flat
-        if f["lo"].n > HELD:
+    def _forget(self) -> None:
+        """Drops what was built beyond the bound."""
+        if self.extra > ANEW:
             self.clear()
+        elif self.kept is not None:
+            self.extra += self.flat["lo"].n - self.kept["lo"]
+            self.known.passing.clear()
+            for k, x in self.flat.items():
+                x.n = self.kept[k]
+        elif self.flat["lo"].n > HELD:
+            self.known.full, self.kept = True, {k: x.n for k, x in self.flat.items()}
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The chunks' numbers; they and the views of the arrays hold until the next call."""
+        self._forget()
         at = self.known.numbers(chunks)
-        if self.known.new:
-            lat = Lattice(self.v, self.known.new)
-            w = lat.weights(self.v.logp, self.v.byte_logp)
-            back = lat.backward(w)
-            logq = np.minimum(w + back[lat.dst] - back[lat.src], 0.0)
-            order = np.lexsort((-logq, lat.src))  # the likeliest edge of a node comes first
-            src, dst, logq = lat.src[order], lat.dst[order], logq[order]
-            n = np.bincount(src, minlength=lat.nodes)
-            lo = np.cumsum(n) - n
-            nodes, edges = f["lo"].n - 1, f["piece"].n
-            run = np.cumsum(np.exp(logq))
-            reach = np.minimum(run - np.r_[0.0, run][lo[src]], 1.0)
-            reach[np.r_[src[1:] != src[:-1], True]] = 1.0
-            f["reach"].add(reach)
-            f["logq"].add(logq)
-            ends = np.zeros(lat.nodes, bool)
-            ends[lat.last] = True
-            to = np.where(ends[dst], -1, dst)
-            f["dst"].add(np.where(to < 0, -1, nodes + to))
-            # a character without a piece: its byte's id, or minus two less its code where it has several bytes
-            code = lat.code.astype(np.int64)
-            f["piece"].add(np.where(lat.piece >= 0, lat.piece, np.where(code < 128, self.byte[np.minimum(code, 127)], -2 - code))[order])
-            f["lo"].n -= 1
-            f["lo"].add(np.r_[edges + lo, edges + len(src)])
-            f["first"].add(nodes + lat.first)
-            f["z"].add(back[lat.first])
-            steps, rows, live, node = [], [], np.arange(len(lat.first)), lat.first
-            while len(live):
-                e = lo[node]
-                steps.append(e)
-                rows.append(live)
-                on = to[e] >= 0
-                node, live = to[e][on], live[on]
-            row = np.concatenate(rows)
-            main, length = np.concatenate(steps)[np.argsort(row, kind="stable")], np.bincount(row)
-            begin = np.cumsum(length) - length
-            f["main_at"].add(f["main"].n + begin)
-            f["main"].add(edges + main)
-            f["main_n"].add(length)
-            f["main_p"].add(np.exp(np.add.reduceat(logq[main], begin)))
-            self.known.new.clear()
-        for k, x in f.items():
+        new = self.known.new
+        ends = np.cumsum([len(x) for x in new]) // AT_ONCE
+        for group in np.split(np.arange(len(new)), np.flatnonzero(np.diff(ends)) + 1):
+            if len(group):
+                self._build(new[group[0] : group[-1] + 1])
+        new.clear()
+        for k, x in self.flat.items():
             setattr(self, k, x.now)
         return at
 
+    def _build(self, chunks: list[str]) -> None:
+        f = self.flat
+        lat = Lattice(self.v, chunks)
+        w = lat.weights(self.v.logp, self.v.byte_logp)
+        back = lat.backward(w)
+        logq = w + back[lat.dst] - back[lat.src]
+        logq[logq > -2e-15] = 0.0  # an only edge, but for rounding
+        order = np.argsort(lat.src, kind="stable")
+        src, q = lat.src[order], logq[order]
+        n = np.bincount(src, minlength=lat.nodes)
+        lo = np.cumsum(n) - n
+        # the likeliest edge of a node comes first
+        start = lo[n > 0]
+        best = np.flatnonzero(q == np.repeat(np.maximum.reduceat(q, start), n[n > 0]))
+        best = best[np.r_[True, src[best][1:] != src[best][:-1]]]
+        order[start], order[best] = order[best], order[start]
+        dst, logq = lat.dst[order], logq[order]
+        nodes, edges = f["lo"].n - 1, f["piece"].n
+        run = np.cumsum(np.exp(logq))
+        reach = np.minimum(run - np.r_[0.0, run][lo[src]], 1.0)
+        reach[np.r_[src[1:] != src[:-1], True]] = 1.0
+        f["reach"].add(reach)
+        f["logq"].add(logq)
+        ends = np.zeros(lat.nodes, bool)
+        ends[lat.last] = True
+        to = np.where(ends[dst], -1, dst)
+        f["dst"].add(np.where(to < 0, -1, nodes + to))
+        # a character without a piece: its byte's id, or minus two less its code where it has several bytes
+        code = lat.code.astype(np.int64)
+        f["piece"].add(np.where(lat.piece >= 0, lat.piece, np.where(code < 128, self.byte[np.minimum(code, 127)], -2 - code))[order])
+        f["lo"].n -= 1
+        f["lo"].add(np.r_[edges + lo, edges + len(src)])
+        f["first"].add(nodes + lat.first)
+        f["z"].add(back[lat.first])
+        steps, rows, live, node = [], [], np.arange(len(lat.first)), lat.first
+        while len(live):
+            e = lo[node]
+            steps.append(e)
+            rows.append(live)
+            on = to[e] >= 0
+            node, live = to[e][on], live[on]
+        row = np.concatenate(rows)
+        main, length = np.concatenate(steps)[np.argsort(row, kind="stable")], np.bincount(row)
+        begin = np.cumsum(length) - length
+        f["main_at"].add(f["main"].n + begin)
+        f["main"].add(edges + main)
+        f["main_n"].add(length)
+        f["main_p"].add(np.exp(np.add.reduceat(logq[main], begin)))
+
     def walk(self, nodes: np.ndarray, salt: np.ndarray, u: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Edges drawn from each node to its chunk's end, one chunk after the other, and how many each has.
 
@@ -231,21 +275,40 @@ class Search:
         self.out.append((whole, base + float(q.sum())))
         if not len(edges):
             return False
-        # what is left at each choice: all but the edge taken there (and at the split, the ones taken before)
-        with np.errstate(divide="ignore"):
-            rest = np.log(-np.expm1(q))
-            if self.gone:
-                node = paths.node_of(int(edges[0]))
-                free = [x for x in range(paths.lo[node], paths.lo[node + 1]) if x not in self.gone and x != edges[0]]
-                rest[0] = np.logaddexp.reduce(paths.logq[free]) if free else -np.inf
-            waits = np.logaddexp(self.log_e, np.log(self.rng.exponential(size=len(rest))) - ahead - rest)
-        # a choice of one edge leaves nothing; chances that only rounding leaves count as nothing too
-        waits[~(rest > -34)] = np.inf
+        # what is left at each choice: all but the edge taken there (and at the split, the ones taken before). Along the
+        # path these are falls of the chance of having stayed on it, so sums over stretches need its ends alone
+        fall = np.r_[0.0, np.cumsum(q)]
+        left = lambda lo, hi: float(np.exp(fall[lo]) * -np.expm1(fall[hi] - fall[lo]))
+        here = left(0, 1)
+        if self.gone:
+            node = paths.node_of(int(edges[0]))
+            free = [x for x in range(paths.lo[node], paths.lo[node + 1]) if x not in self.gone and x != edges[0]]
+            here = float(np.exp(paths.logq[free]).sum()) if free else 0.0
+        parts = [(0, 1, here), (1, len(q), left(1, len(q)))]
         due = self.k + 1 - len(self.out)
-        ok = np.argpartition(waits, due)[:due] if due < len(waits) else np.arange(len(waits))
-        ends = np.cumsum(per)
-        for i in ok[np.isfinite(waits[ok])].tolist():
-            self.waiting.append((float(waits[i]), len(self.before) + i, whole, self.chunk + int(np.searchsorted(ends, i, side="right")), [*(self.gone if i == 0 else []), int(edges[i])]))
+        ends, log_e = np.cumsum(per), self.log_e
+        # the sets in order of their least e: the next comes after a fresh exponential over all that is left
+        for _ in range(due):
+            total = sum(m for _, _, m in parts)
+            if not total > 0.0:
+                break
+            log_e = float(np.logaddexp(log_e, np.log(self.rng.exponential()) - base - np.log(total)))
+            u, at = self.rng.random() * total, 0
+            while u >= parts[at][2] and at < len(parts) - 1:
+                u, at = u - parts[at][2], at + 1
+            while not parts[at][2] > 0.0:
+                at -= 1
+            lo, hi, _ = parts[at]
+            i = lo
+            if hi - lo > 1:
+                path = -fall[lo : hi + 1]
+                with np.errstate(divide="ignore"):
+                    j = np.searchsorted(path, -np.log(max(0.0, np.exp(fall[lo]) - u)), side="right")
+                i = lo + int(min(j, np.searchsorted(path, path[-1], side="left"))) - 1
+            parts[at : at + 1] = [(x, y, left(x, y)) for x, y in ((lo, i), (i + 1, hi)) if y > x]
+            self.waiting.append((log_e, len(self.before) + i, whole, self.chunk + int(np.searchsorted(ends, i, side="right")), [*(self.gone if i == 0 else []), int(edges[i])]))
+            if not parts:
+                break
         self.waiting.sort(key=lambda x: x[0])
         del self.waiting[due:]
         if len(self.out) == self.k or not self.waiting:
@@ -350,7 +413,7 @@ def encode(docs: DataFrame, k: int = K, sharpness: float = SHARPNESS, base_seed:
         return fn
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_slices(own, make, "doc_id long, sample int, n_pieces int, log_prob double, log_inclusion double, log_weight double, pieces array<int>, is_exact boolean", 128)
+    return map_slices(own, make, "doc_id long, sample int, n_pieces int, log_prob double, log_inclusion double, log_weight double, pieces array<int>, is_exact boolean", 128, SLICE_BYTES)
 
 
 def decoded(samples: DataFrame, vocab: str = VOCAB) -> DataFrame:
