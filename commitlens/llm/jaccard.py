@@ -7,8 +7,12 @@ overlap is counted in each fragment apart, and the counts are summed per pair.
 
 Documents of equal sets are one node. A set of many near copies is not expanded into its pairs: each node is first
 checked against one node per shared prefix shingle, the links found join components, and pairs are then made only
-between different components, until none is left to check. No link between components is lost, so the components are
-exact. Shingles and sets are named by 64-bit hashes.
+between different components. No link between components is lost, so the components are exact. Shingles and sets are
+named by 64-bit hashes.
+
+Each node has a sketch: bit i tells whether the number of its shingles that hash to i is odd. Two sketches differ in no
+more bits than the sets have shingles apart, so pairs whose sketches differ in more than a link allows are no links and
+are never made.
 
 All links lie within components. There every two sets are compared, by blocks of sets: each set goes to as many tasks
 as its component has blocks, and a task gives the links of two blocks, or for each set how many rows it links to.
@@ -34,15 +38,16 @@ WIDTH = 4
 PERCENT = 85
 #: Frequent shingles that are ordered by frequency, at most (what is sent to executors is bounded by this), and those a
 #: task may name.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 19
 NAMED = 50_000
 FRAGMENTS = 4
 BLOOM_BITS = 26
-#: Pairs between components, over rows of prefixes, above which another round of single checks comes first.
-DENSE = 20.0
-ROUNDS = 2
-#: Sets in a block, about, and shingles compared at once.
-BLOCK, AT_ONCE = 512, 4096
+#: Rows of a shingle that one task takes, about, where they are put in order.
+SALT_ROWS = 20_000
+#: Sets and shingles in a block, about, and shingles compared at once.
+BLOCK, BLOCK_TOKENS, AT_ONCE = 512, 1_000_000, 4096
+#: The words of a sketch.
+SKETCH = ["s0", "s1", "s2", "s3"]
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -63,8 +68,13 @@ def _node(tokens: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
 
 
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens * _C1 >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def surveyed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n and node of every row; and rows of token and cnt: shingles frequent within a task."""
+    """doc_id, n, node and sketch of every row; and rows of token and cnt: shingles frequent within a task."""
 
     def make():
         seen: set = set()
@@ -94,33 +104,35 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
                     if len(seen) > 500_000:
                         seen.clear()
                 k = len(more[0])
-                return {"doc_id": b.column("doc_id").to_pylist() + [None] * k, "n": [len(s) for s in sets] + [0] * k, "node": nodes + [None] * k, "token": [None] * len(sets) + list(more[0]), "cnt": [0] * len(sets) + list(more[1])}
+                sketches = np.concatenate([np.array([_sketch(s) for s in sets]).reshape(-1, 4), np.zeros((k, 4), np.int64)])
+                own = {"doc_id": b.column("doc_id").to_pylist() + [None] * k, "n": [len(s) for s in sets] + [0] * k, "node": nodes + [None] * k, "token": [None] * len(sets) + list(more[0]), "cnt": [0] * len(sets) + list(more[1])}
+                return own | {c: sketches[:, i] for i, c in enumerate(SKETCH)}
 
             def end(self):
                 tokens, n = counts()
                 k = len(tokens)
-                return {"doc_id": [None] * k, "n": [0] * k, "node": [None] * k, "token": tokens, "cnt": n} if k else None
+                return {"doc_id": [None] * k, "n": [0] * k, "node": [None] * k, "token": tokens, "cnt": n} | {c: np.zeros(k, np.int64) for c in SKETCH} if k else None
 
         return Survey()
 
-    return map_slices(docs, make, "doc_id long, n long, node long, token long, cnt long", 64)
+    return map_slices(docs, make, "doc_id long, n long, node long, token long, cnt long, " + ", ".join(f"{c} long" for c in SKETCH), 64)
 
 
 def _order(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Each token's place among the frequent ones (1 and up, rarest first), 0 for all others."""
+    """What rank tells of each frequent token (its place: 1 and up, rarest first), 0 for all others."""
     at = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
     return np.where(frequent[at] == tokens, rank[at], 0) if len(frequent) else np.zeros(len(tokens), np.int64)
 
 
 def prefixes(docs: DataFrame, sent, width: int, percent: int) -> DataFrame:
-    """token, node, n and pos, its place: the first shingles in the global order of each set; a task names a set once."""
+    """token, node, n, pos, its place, and salts, by how many tasks its rows are put in order: the first shingles in the global order of each set; a task names a set once."""
 
     def make():
-        frequent, rank = sent.value
+        frequent, rank, salts = sent.value
         seen: set = set()
 
         def fn(b):
-            tokens, nodes, ns, places = [], [], [], []
+            tokens, nodes, ns, places, many = [], [], [], [], []
             if len(seen) > 500_000:
                 seen.clear()
             for t in b.column("text").to_pylist():
@@ -132,14 +144,15 @@ def prefixes(docs: DataFrame, sent, width: int, percent: int) -> DataFrame:
                 k = len(s) - -(-percent * len(s) // 100) + 1
                 place = _order(s, frequent, rank)
                 tokens.append(s[np.lexsort((s, place))[:k]])
+                many.append(np.maximum(1, _order(tokens[-1], frequent, salts)))
                 nodes.append(np.full(k, x))
                 ns.append(np.full(k, len(s)))
                 places.append(np.arange(k))
-            return {"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(ns), "pos": np.concatenate(places)} if tokens else None
+            return {"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(ns), "pos": np.concatenate(places), "salts": np.concatenate(many)} if tokens else None
 
         return fn
 
-    return map_slices(docs, make, "token long, node long, n int, pos int", 64)
+    return map_slices(docs, make, "token long, node long, n int, pos int, salts int", 64)
 
 
 def _bits(x: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -172,7 +185,7 @@ def fragments(docs: DataFrame, sent, width: int, count: int = FRAGMENTS, bits: i
     """
 
     def make():
-        frequent, rank, nodes_held, ids_held = sent.value
+        (frequent, rank, _), nodes_held, ids_held = sent.value
         seen: set = set()
         pivots = (np.arange(1, count, dtype=np.uint64) * np.uint64((1 << 64) // count)).astype(np.uint64)
 
@@ -227,6 +240,19 @@ def _prefix(n: Column, percent: int) -> Column:
     return n - F.ceil(percent * n / F.lit(100.0) - F.lit(1e-9)) + 1
 
 
+def _apart(na: str, nb: str, percent: int, ours: str = "", theirs: str = "_") -> Column:
+    """Whether the sketches of two sets leave room for a link; their words' names end as told."""
+    bits = sum((F.bit_count(F.col(c + ours).bitwiseXOR(F.col(c + theirs))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0] + ours).bitwiseXOR(F.col(SKETCH[0] + theirs))))
+    return bits <= F.col(na) + F.col(nb) - 2 * _needed(na, nb, percent)
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches leave room for a link."""
+    for k in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(k), *[F.col(c).alias(c + k) for c in SKETCH]), k)
+    return pairs.where(_apart("na", "nb", percent, "a", "b")).select("a", "b", "na", "nb")
+
+
 def plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """The pairs whose overlap may be large enough by what their prefixes share.
 
@@ -266,19 +292,22 @@ def searched(docs: DataFrame, width: int, percent: int) -> Search:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = written(surveyed(own, width))
     members = survey.where("token is null").select("doc_id", "n", "node")
+    nodes = cut(survey.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in SKETCH]))
     top = heaviest(survey.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")), "cnt", FREQUENT).toArrow()
     frequent, cnt = top.column("token").to_numpy().view(np.uint64), top.column("cnt").to_numpy()
     by_count = np.lexsort((frequent, cnt))
-    frequent = frequent[by_count]
+    frequent, cnt = frequent[by_count], cnt[by_count]
     at = np.argsort(frequent)
-    frequent, rank = frequent[at], at + 1
-    sent = sc.broadcast((frequent, rank))
-
-    # shared prefix shingles: rows whose shingle another set has too
-    by = Window.partitionBy("token").orderBy("n", "node")
-    rows = prefixes(own.select("text"), sent, width, percent).repartition("token").groupBy("token", "node", "n").agg(F.min("pos").alias("pos"))
+    order = frequent[at], (at + 1).astype(np.int32), 1 + cnt[at] // SALT_ROWS
+    sent = sc.broadcast(order)
+
+    # shared prefix shingles: rows whose shingle another set has too; a frequent one's rows are spread by salt
+    salt = F.pmod(F.xxhash64("node", F.lit(7)), F.col("salts")).alias("salt")
+    by = Window.partitionBy("token", "salt").orderBy("n", "node")
+    rows = prefixes(own.select("text"), sent, width, percent).select("*", salt).repartition("token", "salt")
+    rows = rows.groupBy("token", "salt", "node", "n").agg(F.min("pos").alias("pos"), F.max("salts").alias("salts"))
     rows = rows.withColumns({"before": F.lag("node").over(by), "bn": F.lag("n").over(by), "after": F.lead("node").over(by)})
-    shared = written(rows.where("before is not null or after is not null").drop("after"))
+    shared = written(rows.where("before is not null or after is not null or salts > 1").drop("after", "salt", "salts"))
     heads = cut(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")))  # a prefix at most
     leaders = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
@@ -287,7 +316,7 @@ def searched(docs: DataFrame, width: int, percent: int) -> Search:
         pairs = cut(plausible(pairs, heads, percent))
         ends = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(leaders, "node"))
         filters = bloom(ends.select("node")), bloom(ends.select(F.coalesce("doc_id", F.lit(0)).alias("node")))
-        sets = written(fragments(own, sc.broadcast((frequent, rank, *filters)), width))
+        sets = written(fragments(own, sc.broadcast((order, *filters)), width))
         new = verified(pairs, sets, percent)
         links = cut(new if links is None else links.union(new).distinct())
         discard(sets)
@@ -295,31 +324,24 @@ def searched(docs: DataFrame, width: int, percent: int) -> Search:
 
     # one check per node at first: against the set it meets most often as the hub of a shingle, or next to it. A
     # shingle's hub is the set whose prefix is shared most, such as the text that all near copies of a group come from
-    by = Window.partitionBy("token").orderBy(F.desc("share"), "n", "node")
     share = heads.select("node", F.size("tokens").alias("k"))
-    hubs = shared.join(share, "node").withColumn("share", F.col("k") / _prefix(F.col("n"), percent)).withColumns({"hub": F.first("node").over(by), "hn": F.first("n").over(by)})
+    rank = F.struct(F.col("k") / _prefix(F.col("n"), percent), -F.col("n"), "node")
+    hubs = shared.join(share, "node").groupBy("token").agg(F.max_by(F.struct("node", "n"), rank).alias("hub"))
+    hubs = shared.join(hubs.select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hn")), "token")
     near = lambda df, to, n: df.where(F.col(to).isNotNull() & (F.col(to) != F.col("node")) & _close(F.col("n"), F.col(n), percent)).select("node", "n", F.col(to).alias("to"), F.col(n).alias("m"))
-    links, found = checked(_best(near(hubs, "hub", "hn").union(near(shared, "before", "bn"))), None)
-    most = DENSE * shared.count()
-    for k in range(ROUNDS + 1):
-        mixed = _mixed(shared.select("token", "node", "n", "pos"), found)
-        if mixed is None or k == ROUNDS or _pairs_between(mixed) <= most:
-            break
-        turn = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(k)))
-        turned = mixed.withColumns({"to": F.lag("node").over(turn), "m": F.lag("n").over(turn), "other": F.lag("comp").over(turn)})
-        turned = turned.where(F.col("to").isNotNull() & (F.col("other") != F.col("comp")) & _close(F.col("n"), F.col("m"), percent)).select("node", "n", "to", "m")
-        links, found = checked(_best(turned), links)
+    links, found = checked(alike(_best(near(hubs, "hub", "hn").union(near(shared, "before", "bn"))), nodes, percent), None)
+    mixed = _mixed(shared.select("token", "node", "n", "pos"), nodes.join(found, "node", "left"))
     if mixed is not None:
         # every pair between different components that shares a prefix shingle: of a shingle's rows, those outside its
         # largest component against all of it
-        rest = mixed.where("comp <> main").select("token", "node", "n", "pos", "comp")
-        all_ = mixed.select("token", F.col("node").alias("to"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other"))
+        rest = mixed.where("comp <> main").select("token", "node", "n", "pos", "comp", *SKETCH)
+        all_ = mixed.select("token", F.col("node").alias("to"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other"), *[F.col(c).alias(c + "_") for c in SKETCH])
         # at the first shingle that a pair shares, all of its overlap is still to come
         least = _needed("n", "m", percent)
         ahead = (F.col("n") - F.col("pos") >= least) & (F.col("m") - F.col("at") >= least)
-        pairs = rest.join(all_, "token").where((F.col("comp") != F.col("other")) & _close(F.col("n"), F.col("m"), percent) & ahead).select(*_pair("node", "n", "to", "m")).distinct()
+        pairs = rest.join(all_, "token").where((F.col("comp") != F.col("other")) & _close(F.col("n"), F.col("m"), percent) & ahead & _apart("n", "m", percent)).select(*_pair("node", "n", "to", "m")).distinct()
         links, found = checked(pairs, links)
-    return Search(own=own, members=members, leaders=leaders, found=found, order=(frequent, rank), width=width, percent=percent)
+    return Search(own=own, members=members, leaders=leaders, found=found, order=order, width=width, percent=percent)
 
 
 def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -354,11 +376,11 @@ def compared(s: Search, pairs: bool) -> DataFrame:
     to, percent = arrow_schema(schema), s.percent
     rows = s.members.where("node is not null").groupBy("node", "n").agg(F.count("*").alias("rows"))
     placed = rows.join(s.found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    sizes = placed.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
+    sizes = placed.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
     placed = cut(placed.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     ends = cut(placed.select("node").join(s.leaders, "node"))
     filters = bloom(ends.select("node")), bloom(ends.select(F.coalesce("doc_id", F.lit(0)).alias("node")))
-    sent = s.own.sparkSession.sparkContext.broadcast((*s.order, *filters))
+    sent = s.own.sparkSession.sparkContext.broadcast((s.order, *filters))
     sets = fragments(s.own, sent, s.width).groupBy("node", "part").agg(F.first("tokens").alias("tokens")).groupBy("node").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
     met = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("comp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "n", "rows", "tokens")
@@ -405,11 +427,6 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return own.join(cut(stay), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
-def _pairs_between(mixed: DataFrame) -> int:
-    """How many pairs the search between components would make."""
-    return mixed.select("token", "rest", "n_token").distinct().agg(F.coalesce(F.sum(F.col("rest") * F.col("n_token")), F.lit(0)).alias("n")).first().n
-
-
 def _best(near: DataFrame) -> DataFrame:
     """One pair for each node of near (node, n, to, m): with the other node that stands there most often."""
     votes = near.groupBy("node", "n", "to", "m").agg(F.count("*").alias("k"))
@@ -417,12 +434,14 @@ def _best(near: DataFrame) -> DataFrame:
     return best.select(*_pair("node", "n", "to", "m")).distinct()
 
 
-def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Rows of shingles that stand in several components, with comp, main (the shingle's largest component), n_token and rest (rows outside main); None without any."""
-    placed = shared.join(found, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("comp"))
-    each = placed.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    main = each.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("n_token"), F.max("k").alias("k"), F.count("*").alias("c")).where("c > 1")
-    main = cut(main.select("token", "main", "n_token", (F.col("n_token") - F.col("k")).alias("rest")))
+def _mixed(shared: DataFrame, placed: DataFrame) -> DataFrame | None:
+    """Rows of shingles that stand in several components, with their nodes' sketch, comp, and main, the shingle's largest component; None without any.
+
+    placed: each node with its sketch, and its component's root, if it has links.
+    """
+    rows = shared.join(placed.select("node", *SKETCH, F.coalesce("root", "node").alias("comp")), "node")
+    each = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    main = cut(each.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1").select("token", "main"))
     if main.isEmpty():
         return None
-    return cut(placed.join(main, "token"))
+    return cut(rows.join(main, "token"))

@@ -243,6 +243,34 @@ def test_jaccard_gives_every_link(spark, monkeypatch):
     assert {(r.a, r.b): (r.shared, r.union) for r in got} == {tuple(sorted((node[a], node[b]))): v for (a, b), v in both.items() if sets[a] != sets[b]}
 
 
+def test_jaccard_of_near_copies_about_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 3)  # frequent shingles are spread
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(350):
+        d = list(base)
+        for at in rng.sample(range(150), rng.randint(2, 6)):
+            d[at] = f"x{rng.randrange(60)}"
+        texts.append(" ".join(d))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = {i: frozenset(_shingles(t)) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    degree = collections.Counter(i for p in links for i in p)
+    want = _components(sets)
+    assert 10 < len(set(want.values())) and len(links) < 0.3 * 351 * 350 / 2
+    assert {r.doc_id: (r.component_id, r.n_links) for r in jaccard.linked(df).collect()} == {i: (want[i], degree[i]) for i in sets}
+
+
+def test_jaccard_sketches_lose_no_link():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)])
+        apart = sum(int(x).bit_count() for x in (jaccard._sketch(a) ^ jaccard._sketch(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+
+
 def test_jaccard_odd_rows(odd, none):
     got = jaccard.linked(odd).collect()
     assert len(got) == odd.count() and {r.component_id for r in got if r.doc_id == 3} == {3}
