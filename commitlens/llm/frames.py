@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -17,6 +18,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 #: Rows, and bytes of strings, handled at once inside an Arrow batch, so that work arrays stay small whatever the batch
 #: size; a longer text is a slice of its own.
 SLICE_ROWS, SLICE_BYTES = 256, 8_000_000
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 4 << 20
 
 
 def arrow_schema(schema: str | StructType) -> pa.Schema:
@@ -39,12 +42,26 @@ def slices(batch: pa.RecordBatch, rows: int, size: int):
         at = end
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes too, where the session names no bound of its own: texts may be long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(own := ctypes.CDLL(None), "malloc_trim"):
+        own.malloc_trim(0)
+
+
 def map_slices(df: DataFrame, make, schema: str | StructType, slice_rows: int = SLICE_ROWS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """df through fn = make(), called in each task: fn(a slice as slices() cuts them) gives a dict of columns or None.
 
     A fn with an attribute `end` is asked for end() once its partition is over.
     """
     out = arrow_schema(schema)
+    bounded(df.sparkSession)
 
     def run(batches):
         fn = make()
@@ -54,6 +71,8 @@ def map_slices(df: DataFrame, make, schema: str | StructType, slice_rows: int =
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, got[f.name]) for f in out)], schema=out)
         if hasattr(fn, "end") and (got := fn.end()) is not None:
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+        del fn
+        give_back()
 
     return df.mapInArrow(run, schema)
 

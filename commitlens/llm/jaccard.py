@@ -41,6 +41,8 @@ PERCENT = 85
 FREQUENT = 1 << 19
 NAMED = 50_000
 FRAGMENTS = 4
+#: Sets that a task remembers, so as not to give them again.
+SEEN = 200_000
 BLOOM_BITS = 26
 #: Rows of a shingle that one task takes, about, where they are put in order.
 SALT_ROWS = 20_000
@@ -81,10 +83,14 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
         held: list[np.ndarray] = []
 
         def counts():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
+            x = np.concatenate([np.zeros(0, np.uint64), *held])
             held.clear()
-            keep = np.flatnonzero(n > 2)
-            keep = keep[np.argsort(-n[keep], kind="stable")[:NAMED]]
+            x.sort()
+            # where a run of three or more begins
+            first = np.flatnonzero(x[2:] == x[:-2]) if len(x) > 2 else np.zeros(0, int)
+            first = first[np.r_[True, x[first[1:]] != x[first[:-1]]][: len(first)]]
+            tokens, n = x[first], np.searchsorted(x, x[first], side="right") - first
+            keep = np.argsort(-n, kind="stable")[:NAMED]
             return tokens[keep].view(np.int64), n[keep]
 
         class Survey:
@@ -101,7 +107,7 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
                 more = counts() if self.size > 4_000_000 else ((), ())
                 if len(more[0]) or not held:
                     self.size = 0
-                    if len(seen) > 500_000:
+                    if len(seen) > SEEN:
                         seen.clear()
                 k = len(more[0])
                 sketches = np.concatenate([np.array([_sketch(s) for s in sets]).reshape(-1, 4), np.zeros((k, 4), np.int64)])
@@ -133,7 +139,7 @@ def prefixes(docs: DataFrame, sent, width: int, percent: int) -> DataFrame:
 
         def fn(b):
             tokens, nodes, ns, places, many = [], [], [], [], []
-            if len(seen) > 500_000:
+            if len(seen) > SEEN:
                 seen.clear()
             for t in b.column("text").to_pylist():
                 s = shingles(t, width)
@@ -197,7 +203,7 @@ def fragments(docs: DataFrame, sent, width: int, count: int = FRAGMENTS, bits: i
 
         def fn(b):
             nodes, parts, sets = [], [], []
-            if len(seen) > 500_000:
+            if len(seen) > SEEN:
                 seen.clear()
             ids = b.column("doc_id")
             wanted = within(ids.fill_null(0).to_numpy(zero_copy_only=False), ids_held) | ids.is_null().to_numpy(zero_copy_only=False)

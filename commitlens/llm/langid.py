@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .frames import cut, fold, id_text, map_slices, texts
-from .lattice import SPACE, VOCAB, Box, Known, Lattice
+from .lattice import SPACE, VOCAB, Box, Known, Lattice, runs
 
 UND = "und"
 #: Documents that a language is learnt from, about: those of least hash. 30,000 piece counts need no more.
@@ -29,7 +29,7 @@ ROUNDS = 2
 #: Weight of the vocabulary's prior, in pieces.
 PRIOR = 2000.0
 #: Numbers held per worker for words seen before.
-HELD = 1_500_000
+HELD = 800_000
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -134,10 +134,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
             found = [words(t) if langs else [] for t in texts(b)]
             at = known.numbers([w for x in found for w in x])
             if known.new:
-                lat = Lattice(v, [SPACE + w for w in known.new])
+                old = len(known) - len(known.new)
                 if len(table) < len(known):
-                    table = np.concatenate([table[: len(known) - len(known.new)], np.zeros((len(known), len(langs)))])
-                table[len(known) - len(known.new) : len(known)] = lat.forward(lat.weights(sent.value, v.byte_logp))[lat.last]
+                    table = np.concatenate([table[:old], np.zeros((len(known.new) + len(known) // 4, len(langs)))])
+                for i, new in runs([SPACE + w for w in known.new]):
+                    lat = Lattice(v, new)
+                    table[old + i : old + i + len(new)] = lat.forward(lat.weights(sent.value, v.byte_logp))[lat.last]
                 known.new.clear()
             n = np.array([len(x) for x in found])
             pred, score = [UND] * len(n), np.zeros(len(n))

@@ -9,6 +9,8 @@ import numpy as np
 #: Where the public vocabularies are; a parameter of every operator that reads one.
 VOCAB = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Characters whose lattice is built at once, about: this bounds its arrays.
+AT_ONCE = 60_000
 _BASE, _MIX, _ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
@@ -198,6 +200,18 @@ class Known(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def runs(words: list[str], size: int = AT_ONCE):
+    """words in runs of about `size` characters, and where each begins."""
+    at = total = 0
+    for i, w in enumerate(words):
+        total += len(w)
+        if total >= size:
+            yield at, words[at : i + 1]
+            at, total = i + 1, 0
+    if at < len(words):
+        yield at, words[at:]
+
+
 def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices starts[i] .. starts[i] + counts[i] - 1 of every i, one after the other."""
     total = int(counts.sum())

@@ -9,8 +9,8 @@ what branches off it at every later choice. Only as many sets as samples are sti
 
 The (k + 1)-th maximum is the threshold for inclusion scores: log(1 - exp(-exp(log p - threshold))); 0 where no
 segmentation is left. Pieces join spaces only to what follows and never hold a line end, so the lattice of a text is the
-lattices of its chunks. A worker keeps those it met first, up to a bound of nodes, and builds others anew where they are
-met; texts are taken in slices of bounded length, so that its memory doesn't grow with what it reads.
+lattices of its chunks. A worker keeps those that it meets again, up to a bound of nodes, and texts are taken in slices of
+bounded length, so that its memory doesn't grow with what it reads.
 
 Edge cases: a null or empty text has one segmentation, the empty one, with scores 0; a text with fewer than k
 segmentations gives them all; repeated rows (same id) draw the same noise; a null id is seeded by its text alone. The
@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import map_slices
-from .lattice import SPACE, VOCAB, Box, Known, Lattice, Vocabulary, gather
+from .lattice import SPACE, VOCAB, Box, Known, Lattice, Vocabulary, gather, runs
 
 K = 2
 SHARPNESS = 1.0
-#: Nodes of the lattices that a worker keeps, and how many it builds besides before it starts anew.
-HELD, ANEW = 1_200_000, 60_000_000
-#: Characters whose lattice is built at once, and bytes of the texts in a slice, about.
-AT_ONCE, SLICE_BYTES = 60_000, 500_000
+#: Nodes of the lattices that a worker keeps, about.
+HELD = 300_000
+#: Bytes of the texts in a slice, about.
+SLICE_BYTES = 500_000
 _CHUNKS = re.compile(f"{SPACE}*(?:\n|[^{SPACE}\n]+)|{SPACE}+")
 #: Stands for a literal mark while the spaces are marks; it has no piece.
 _STAND_IN = "\U0010fffe"
@@ -85,23 +85,6 @@ class Flat:
         return self.held[: self.n]
 
 
-class Chunks(Known):
-    """Numbers of chunks; once full, those of others are in `passing`."""
-
-    def __init__(self):
-        super().__init__()
-        self.full, self.passing = False, {}
-
-    def __missing__(self, key):
-        if not self.full:
-            return super().__missing__(key)
-        i = self.passing.get(key)
-        if i is None:
-            i = self.passing[key] = len(self) + len(self.passing)
-            self.new.append(key)
-        return i
-
-
 class Paths:
     """Choices at each node of the chunks seen, held flat: an edge's chance, target and piece.
 
@@ -116,33 +99,48 @@ class Paths:
         self.clear()
 
     def clear(self):
-        self.known, self.kept, self.extra = Chunks(), None, 0
+        self.known, self.seen = Known(), np.zeros(0, np.int64)
         for x in self.flat.values():
             x.n = 0
         self.flat["lo"].add(np.zeros(1, np.int32))
 
     def _forget(self) -> None:
-        """Drops what was built beyond the bound."""
-        if self.extra > ANEW:
-            self.clear()
-        elif self.kept is not None:
-            self.extra += self.flat["lo"].n - self.kept["lo"]
-            self.known.passing.clear()
-            for k, x in self.flat.items():
-                x.n = self.kept[k]
-        elif self.flat["lo"].n > HELD:
-            self.known.full, self.kept = True, {k: x.n for k, x in self.flat.items()}
+        """Once the bound is passed, keeps of the chunks those seen again since the last time, most often seen first, up to half the bound."""
+        f = {k: x.now for k, x in self.flat.items()}
+        if len(f["lo"]) <= HELD:
+            return
+        n_nodes = np.diff(np.r_[f["first"], len(f["lo"]) - 1])
+        often = np.argsort(-self.seen, kind="stable")
+        often = often[(self.seen[often] > 1) & (np.cumsum(n_nodes[often]) <= HELD // 2)]
+        keep = np.sort(often)
+        chunks, n_nodes, first = list(self.known), n_nodes[keep], f["first"][keep].astype(np.int64)
+        begin = f["lo"][first].astype(np.int64)
+        n_edges = f["lo"][first + n_nodes] - begin
+        nodes, edges, main = gather(first, n_nodes), gather(begin, n_edges), gather(f["main_at"][keep], f["main_n"][keep])
+        back_nodes, back_edges = first - (np.cumsum(n_nodes) - n_nodes), begin - (np.cumsum(n_edges) - n_edges)
+        dst = f["dst"][edges]
+        new = {k: f[k][edges] for k in ("reach", "logq", "piece")} | {k: f[k][keep] for k in ("z", "main_n", "main_p")}
+        new["dst"] = np.where(dst < 0, -1, dst - np.repeat(back_nodes, n_edges))
+        new["lo"] = np.r_[f["lo"][nodes] - np.repeat(back_edges, n_nodes), len(edges)]
+        new["first"] = first - back_nodes
+        new["main"] = f["main"][main] - np.repeat(back_edges, new["main_n"])
+        new["main_at"] = np.cumsum(new["main_n"]) - new["main_n"]
+        self.clear()
+        self.known.numbers([chunks[i] for i in keep.tolist()])
+        self.known.new.clear()
+        self.seen = np.ones(len(keep), np.int64)
+        for k, x in self.flat.items():
+            x.n = 0
+            x.add(new[k])
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The chunks' numbers; they and the views of the arrays hold until the next call."""
         self._forget()
         at = self.known.numbers(chunks)
-        new = self.known.new
-        ends = np.cumsum([len(x) for x in new]) // AT_ONCE
-        for group in np.split(np.arange(len(new)), np.flatnonzero(np.diff(ends)) + 1):
-            if len(group):
-                self._build(new[group[0] : group[-1] + 1])
-        new.clear()
+        self.seen = np.r_[self.seen, np.zeros(len(self.known.new), np.int64)] + np.bincount(at, minlength=len(self.known))
+        for _, new in runs(self.known.new):
+            self._build(new)
+        self.known.new.clear()
         for k, x in self.flat.items():
             setattr(self, k, x.now)
         return at
