@@ -171,8 +171,8 @@ def callers(start: DataFrame, edges: DataFrame, entries: DataFrame, keys: list[s
     seeds = start.select(*keys, F.col("node").alias("root"), "node")
     ends = entries.select(*keys, "node").distinct()
     every = edges.select(*keys, F.col("dst").alias("node")).unionByName(edges.select(*keys, F.col("src").alias("node"))).distinct()
-    on = every.join(ends, [*keys, "node"], "left_anti").unionByName(start.select(*keys, "node")).distinct()
-    out = reach(seeds, reversed_edges(edges), [*keys, "root"], max_depth, on).where("depth > 0")
+    on = every.join(ends, [*keys, "node"], "left_anti")
+    out = reach(seeds, reversed_edges(edges), [*keys, "root"], max_depth, on, seeds_expand=True).where("depth > 0")
     return out.join(ends.withColumn("_e", F.lit(True)), [*keys, "node"], "left").withColumn("is_entry", F.coalesce("_e", F.lit(False))).drop("_e")
 
 

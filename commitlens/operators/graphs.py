@@ -5,6 +5,7 @@ Every loop carries a key, so that all repos, commits or roots advance together,
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written as a table in the folder that the cluster names for checkpoints, and read back; a folder is made only where none is named.
+    """df written as a table in the folder that the cluster names for checkpoints, and read back; in local mode a folder is made where none is named.
 
     Unlike a checkpoint, the table carries no constraints of the plan that made it, which grow in loops.
     """
@@ -21,6 +22,8 @@ def settle(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         at = tempfile.mkdtemp(prefix="commitlens-")
         sc.setCheckpointDir(at)
     path = f"{at}/commitlens-{uuid.uuid4().hex}"
@@ -28,10 +31,11 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], max_depth: int | None = None, expand: DataFrame | None = None) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], max_depth: int | None = None, expand: DataFrame | None = None, seeds_expand: bool = False) -> DataFrame:
     """keys, node and depth: the nodes that each seed row's keys reach along edges (src, dst, and those of keys they have), with the least depth.
 
-    expand: nodes (with those keys) beyond which the walk goes on; others are reached but end it.
+    expand: nodes (with those keys) beyond which the walk goes on; others are reached but end it. With seeds_expand it
+    goes on beyond all seeds too.
     """
     shared = [k for k in keys if k in edges.columns]
     frontier = settle(seeds.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
@@ -39,7 +43,7 @@ def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], max_depth: int |
     depth = 0
     while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
-        start = frontier if expand is None else frontier.join(expand, [*[k for k in keys if k in expand.columns], "node"], "left_semi")
+        start = frontier if expand is None or (seeds_expand and depth == 1) else frontier.join(expand, [*[k for k in keys if k in expand.columns], "node"], "left_semi")
         step = start.withColumnRenamed("node", "src").join(edges.select(*shared, "src", "dst"), [*shared, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
         frontier = settle(step.join(seen, [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = settle(seen.unionByName(frontier)) if depth % 8 == 0 else seen.unionByName(frontier)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.diffs import shifted
-from ..functions.text import alike, indel_ratio
+from ..functions.text import alike, companions, indel_ratio
 from .graphs import compose, reach, reversed_edges, settle
 
 K = ["repo", "commit"]
@@ -49,13 +49,13 @@ def sensitive_calls(nodes: DataFrame, api: DataFrame, edges: DataFrame | None =
     name = F.col("method_full_name")
     if edges is not None:
         args = edges.where("label = 'ARGUMENT'").join(nodes.select(*keys, F.col("node").alias("dst"), "argument_index", F.col("method_full_name").alias("_callee"), F.col("code").alias("_code")), [*keys, "dst"]).where("argument_index = 2")
-        args = args.groupBy(*keys, F.col("src").alias("node")).agg(F.first("_callee").alias("_callee"), F.first("_code").alias("_code"))
+        args = args.groupBy(*keys, F.col("src").alias("node")).agg(F.min(F.struct("_callee", "_code")).alias("_arg")).select(*keys, "node", "_arg.*")
         calls = calls.join(args, [*keys, "node"], "left").where("name not like '<operator>.assignment%' or (_callee is not null and coalesce(_code, '') <> '<empty>')")
         name = F.when(F.col("name").startswith("<operator>.assignment"), F.col("_callee")).otherwise(name)
     calls = calls.withColumn("_callee_name", name)
     if "dynamic_type_hint" in nodes.columns:
         calls = calls.withColumn("_callee_name", F.explode(F.array_distinct(F.array("_callee_name", "dynamic_type_hint"))))
-    return calls.join(F.broadcast(api.select(F.col("full_name").alias("_callee_name")).limit(100_000)), "_callee_name", "left_semi").select(*keys, "node").distinct()
+    return calls.join(api.select(F.col("full_name").alias("_callee_name")), "_callee_name", "left_semi").select(*keys, "node").distinct()
 
 
 def is_project_call(calls: DataFrame, files: DataFrame, keys: list[str] = K) -> DataFrame:
@@ -228,25 +228,32 @@ def outer_roots(nodes: DataFrame, entry_files: DataFrame, keys: list[str] = K) -
 
 
 def sensitive_subgraphs(roots: DataFrame, nodes: DataFrame, taint_edges: DataFrame, keys: list[str] = K) -> DataFrame:
-    """keys, root, node for each root (keys, node, file_path, is_outer) that reaches a sensitive node: all successors, and predecessors that are calls or methods, of which methods go on; not into files that another outer root owns."""
-    kind = nodes.select(*keys, "node", "label", "file_path")
-    ahead = taint_edges.select(*keys, "src", "dst")
-    back = taint_edges.where("label not in ('FUNCTION_CALL', 'SUB_FUNCTION_CALL')").select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    back = back.join(kind.where("label in ('CALL', 'METHOD')").select(*keys, F.col("node").alias("dst")), [*keys, "dst"], "left_semi")
-    leaf = kind.where("label = 'METHOD'").select(*keys, F.col("node").alias("src"))
-    back = back.join(leaf, [*keys, "src"], "left_semi").unionByName(back.join(leaf, [*keys, "src"], "left_anti"))
-    owned = roots.where("is_outer").select(*keys, "file_path", F.col("node").alias("owner"))
-    steps = settle(ahead.unionByName(back).distinct().join(kind.select(*keys, F.col("node").alias("dst"), F.col("file_path").alias("_f")), [*keys, "dst"], "left"))
-    start = roots.select(*keys, F.col("node").alias("root"), "node", F.col("file_path").alias("home"))
-    frontier = settle(start)
-    seen = frontier
+    """keys, root, node for each root (keys, node, file_path, is_outer) that reaches a sensitive node.
+
+    A walk goes on to all successors and to predecessors that are methods, but for callers, and not into files that
+    another outer root owns. Predecessors that are calls, and the companions of methods (by full_name, where nodes have
+    it), are added to what it has passed; the walk doesn't go on from them.
+    """
+    pair = [*keys, "src", "dst"]
+    calls = taint_edges.where("label in ('FUNCTION_CALL', 'SUB_FUNCTION_CALL')").select(*pair)
+    before = taint_edges.select(*pair).distinct().join(calls, pair, "left_anti").select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    owned = roots.where("is_outer").select(*keys, "file_path").distinct().withColumn("_owned", F.lit(True))
+    kind = nodes.select(*keys, F.col("node").alias("dst"), "label", "file_path").join(owned, [*keys, "file_path"], "left")
+    before = before.join(kind, [*keys, "dst"]).where("label in ('CALL', 'METHOD')")
+    steps = taint_edges.select(*pair).join(kind, [*keys, "dst"], "left")
+    steps = settle(steps.unionByName(before.where("label = 'METHOD'")).select(*pair, "file_path", "_owned").distinct())
+    free = F.col("_owned").isNull() | (F.col("file_path") == F.col("home"))
+    ahead = lambda at, to: at.withColumnRenamed("node", "src").join(to, [*keys, "src"]).where(free).select(*keys, "root", F.col("dst").alias("node"), "home").distinct()
+    frontier = seen = settle(roots.select(*keys, F.col("node").alias("root"), "node", F.col("file_path").alias("home")))
     while not frontier.isEmpty():
-        step = frontier.withColumnRenamed("node", "src").join(steps, [*keys, "src"]).select(*keys, "root", "home", F.col("dst").alias("node"), F.col("_f").alias("file_path"))
-        blocked = step.join(owned.select(*keys, "file_path").distinct(), [*keys, "file_path"], "left_semi").where("file_path <> home").select(*keys, "root", "node").distinct()
-        frontier = settle(step.join(blocked, [*keys, "root", "node"], "left_anti").select(*keys, "root", "node", "home").distinct().join(seen, [*keys, "root", "node"], "left_anti"))
+        frontier = settle(ahead(frontier, steps).join(seen, [*keys, "root", "node"], "left_anti"))
         seen = settle(seen.unionByName(frontier))
+    out = seen.unionByName(ahead(seen, before.where("label = 'CALL'")))
+    if "full_name" in nodes.columns:
+        own = seen.join(nodes.where("label = 'METHOD'").select(*keys, "node", F.explode(companions("full_name")).alias("full_name")), [*keys, "node"]).drop("node")
+        out = out.unionByName(own.join(nodes.select(*keys, "node", "full_name"), [*keys, "full_name"]).drop("full_name"))
     hot = seen.join(nodes.where("is_sensitive").select(*keys, "node"), [*keys, "node"], "left_semi").select(*keys, "root").distinct()
-    return seen.join(hot, [*keys, "root"], "left_semi").select(*keys, "root", "node")
+    return out.select(*keys, "root", "node").distinct().join(hot, [*keys, "root"], "left_semi")
 
 
 def slices_by_file(sub: DataFrame, nodes: DataFrame, roots: DataFrame, keys: list[str] = K) -> DataFrame:

@@ -19,12 +19,13 @@ def text_signature(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.signature("text").cast("binary")).alias("signature"))
 
 
-@query("slice_change_flag", r"""WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-n AS (SELECT doc_id, i, trim(regexp_replace(x, '[ \t]+', ' ', 'g')) AS x FROM l), s AS (SELECT d.doc_id, d.source, coalesce(t, '') AS t FROM documents d LEFT JOIN (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM n WHERE x <> '' GROUP BY doc_id) USING (doc_id))
-SELECT doc_id, NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id % 2 = 0 AND b.source = s.source AND b.t = s.t AND b.t <> '') AS is_new FROM s WHERE doc_id % 2 = 1""")
+@query("slice_change_flag", r"""WITH l AS (SELECT doc_id, source, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+n AS (SELECT doc_id, i, trim(regexp_replace(x, '[ \t]+', ' ', 'g')) AS x FROM l), s AS (SELECT d.doc_id, d.source, d.lang, coalesce(t, '') AS t FROM documents d LEFT JOIN (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM n WHERE x <> '' GROUP BY doc_id) USING (doc_id))
+SELECT doc_id, NOT EXISTS (SELECT 1 FROM s b WHERE b.lang = 'en' AND b.source = s.source AND b.t = s.t AND b.t <> '') AS is_new FROM s""")
 def slice_change_flag(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select("doc_id", "source", text.signature("text").alias("signature"))
-    return taint.changed(own.where("doc_id % 2 = 1"), own.where("doc_id % 2 = 0"), ["source"]).select("doc_id", "is_new")
+    """Every document against the English ones: whether it is new to them."""
+    own = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", text.signature("text").alias("signature"))
+    return taint.changed(own.drop("lang"), own.where("lang = 'en'").drop("lang"), ["source"]).select("doc_id", "is_new")
 
 
 _VERSION = "concat(CAST(p_size % 3 AS {t}), '.', CAST(p_size AS {t}), '.', CAST(p_partkey % 15 AS {t}), CASE WHEN p_partkey % 11 = 0 THEN '_benign' WHEN p_partkey % 13 = 0 THEN 'rc1' ELSE '' END)"
@@ -146,10 +147,10 @@ def ast_calls(spark, sf_dir):
     return callgraph.calls(callgraph.read(_sources(spark, sf_dir), ["repo"]), ["repo"])
 
 
-@query("enclosing_function", "SELECT p_partkey AS repo, 'a.py' AS file, CAST(i AS INT) AS line, CASE WHEN i BETWEEN 3 AND 4 THEN 'a.py:<module>.f' || p_partkey WHEN i BETWEEN 7 + p_size AND 10 + p_size THEN 'a.py:<module>.C' || p_partkey || '.m' ELSE 'a.py:<module>' END AS function FROM part, range(1, 12) t(i)")
+@query("enclosing_function", "SELECT p_partkey AS repo, 'a.py' AS file, CAST(i AS INT) AS line, CASE WHEN i BETWEEN 3 AND 4 THEN 'a.py:<module>.f' || p_partkey WHEN i BETWEEN 7 + p_size AND 10 + p_size THEN 'a.py:<module>.C' || p_partkey || '.m' ELSE 'a.py:<module>' END AS function FROM (SELECT *, unnest(generate_series(1, 10 + p_size)) AS i FROM part)")
 def enclosing_function(spark, sf_dir):
     files = _sources(spark, sf_dir).withColumnRenamed("path", "file")
-    lines = files.select("repo", "file", F.explode(F.sequence(F.lit(1), F.lit(11))).alias("line"))
+    lines = files.select("repo", "file", F.explode(F.sequence(F.lit(1), F.size(F.split("content", "\n")) - 1)).alias("line"))
     return spans.enclosing_function(lines, files, ["repo", "file"])
 
 
@@ -169,19 +170,19 @@ def _edges(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.lit(0).alias("g"), F.col("p_partkey").alias("node"), "p_brand", "p_size", "p_name")
+    return table(spark, sf_dir, "part").select(F.lit(0).alias("g"), F.col("p_partkey").alias("node"), "p_brand", "p_size", "p_name", "p_type")
 
 
-@query("reachable_pairs", f"WITH RECURSIVE {_EDGES_SQL}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part WHERE p_partkey % 20 = 0 UNION SELECT root, dst FROM r JOIN e ON src = node) SELECT root, node FROM r")
+@query("reachable_pairs", f"WITH RECURSIVE {_EDGES_SQL}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT root, dst FROM r JOIN e ON src = node) SELECT root, node FROM r")
 def reachable_pairs(spark, sf_dir):
-    seeds = _nodes(spark, sf_dir).where("node % 20 = 0").withColumn("root", F.col("node"))
+    seeds = _nodes(spark, sf_dir).withColumn("root", F.col("node"))
     return graphs.reach(seeds, _edges(spark, sf_dir), ["g", "root"]).select("root", "node")
 
 
-@query("sensitive_reach", f"WITH RECURSIVE {_EDGES_SQL}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part WHERE p_partkey % 20 = 0 UNION SELECT root, dst FROM r JOIN e ON src = node) SELECT root, count(*) AS n_nodes FROM r GROUP BY root HAVING bool_or(node IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#13'))")
+@query("sensitive_reach", f"WITH RECURSIVE {_EDGES_SQL}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT root, dst FROM r JOIN e ON src = node) SELECT root, count(*) AS n_nodes FROM r GROUP BY root HAVING bool_or(node IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#13'))")
 def sensitive_reach(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    seeds = nodes.where("node % 20 = 0").withColumn("root", F.col("node"))
+    seeds = nodes.withColumn("root", F.col("node"))
     got = graphs.reach(seeds, _edges(spark, sf_dir), ["g", "root"])
     hot = nodes.where("p_brand = 'Brand#13'").select("g", "node", F.lit(True).alias("hot"))
     return got.join(hot, ["g", "node"], "left").groupBy("root").agg(F.count("*").alias("n_nodes"), F.bool_or(F.coalesce("hot", F.lit(False))).alias("hot")).where("hot").drop("hot")
@@ -192,11 +193,11 @@ _KIND = "CASE p_size % 7 WHEN 0 THEN 'METHOD' WHEN 1 THEN 'METHOD_RETURN' ELSE '
 
 @query("taint_closure", f"""WITH RECURSIVE {_EDGES_SQL}, k AS (SELECT p_partkey AS node, {_KIND} AS kind FROM part), x AS (SELECT src, dst, CASE (src + dst) % 3 WHEN 0 THEN 'DDG: ' WHEN 1 THEN 'DDG: x' ELSE 'CDG: ' END AS label FROM e),
 s AS (SELECT src, dst FROM x JOIN k ON k.node = dst WHERE label <> 'DDG: ' AND kind <> 'METHOD_RETURN' UNION SELECT dst, src FROM x JOIN k ON k.node = src WHERE label <> 'DDG: ' OR kind = 'METHOD'),
-r AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 50 = 0 UNION SELECT dst FROM r JOIN s ON src = node) SELECT node FROM r""")
+r AS (SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#13' UNION SELECT dst FROM r JOIN s ON src = node) SELECT node FROM r""")
 def taint_closure(spark, sf_dir):
     label = F.when((F.col("src") + F.col("dst")) % 3 == 0, "DDG: ").when((F.col("src") + F.col("dst")) % 3 == 1, "DDG: x").otherwise("CDG: ")
     nodes = _nodes(spark, sf_dir)
-    found, _ = taint.trace(nodes.where("node % 50 = 0"), _edges(spark, sf_dir).withColumn("label", label), nodes.withColumn("label", F.expr(_KIND)), ["g"])
+    found, _ = taint.trace(nodes.where("p_brand = 'Brand#13'"), _edges(spark, sf_dir).withColumn("label", label), nodes.withColumn("label", F.expr(_KIND)), ["g"])
     return found.select("node")
 
 
@@ -220,10 +221,10 @@ def overlap_components(spark, sf_dir):
     return graphs.overlap_groups(a.union(b).distinct(), ["g"]).select("slice", "root")
 
 
-@query("set_overlap_score", "WITH a AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS node FROM lineitem WHERE l_suppkey % 10 = 1), b AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS node FROM lineitem WHERE l_suppkey % 10 = 2), n AS (SELECT a.id AS a_id, b.id AS b_id, count(*) AS n FROM a JOIN b USING (node) GROUP BY ALL) SELECT a_id, max(n) AS best FROM n GROUP BY a_id")
+@query("set_overlap_score", "WITH a AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS node FROM lineitem), n AS (SELECT a.id AS a_id, b.id AS b_id, count(*) AS n FROM a JOIN a b USING (node) WHERE a.id <> b.id GROUP BY ALL) SELECT a_id, max(n) AS best FROM n GROUP BY a_id")
 def set_overlap_score(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("node"))
-    return graphs.overlaps(li.where("id % 10 = 1"), li.where("id % 10 = 2")).groupBy("a_id").agg(F.max("n").alias("best"))
+    return graphs.overlaps(li, li).where("a_id <> b_id").groupBy("a_id").agg(F.max("n").alias("best"))
 
 
 @query("arg_list", "SELECT l_orderkey AS call, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS args FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem) GROUP BY 1")
@@ -246,19 +247,46 @@ def category_propagation(spark, sf_dir):
     return graphs.spread(tags, _edges(spark, sf_dir), ["g"], None).select("node", "category")
 
 
-@query("callee_trace", f"WITH RECURSIVE {_EDGES_SQL}, t AS (SELECT p_partkey AS node FROM part WHERE p_size % 4 <> 0), r AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 100 = 0 UNION SELECT root, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 5 AND node IN (SELECT node FROM t)) SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL HAVING min(depth) > 0")
+@query("callee_trace", f"WITH RECURSIVE {_EDGES_SQL}, t AS (SELECT p_partkey AS node FROM part WHERE p_size % 4 <> 0), r AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part UNION SELECT root, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 5 AND node IN (SELECT node FROM t)) SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL HAVING min(depth) > 0")
 def callee_trace(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    return callgraph.callees(nodes.where("node % 100 = 0"), _edges(spark, sf_dir), nodes.where("p_size % 4 <> 0"), ["g"]).select("root", "node", "depth")
+    return callgraph.callees(nodes, _edges(spark, sf_dir), nodes.where("p_size % 4 <> 0"), ["g"]).select("root", "node", "depth")
 
 
-@query("caller_trace", f"WITH RECURSIVE {_EDGES_SQL}, r AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 100 = 0 UNION SELECT root, src, depth + 1 FROM r JOIN e ON dst = node WHERE depth < 5 AND (node % 10 <> 1 OR depth = 0)) SELECT root, node, min(depth) AS depth, node % 10 = 1 AS is_entry FROM r GROUP BY root, node HAVING min(depth) > 0")
+@query("caller_trace", f"WITH RECURSIVE {_EDGES_SQL}, r AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part UNION SELECT root, src, depth + 1 FROM r JOIN e ON dst = node WHERE depth < 5 AND (node NOT IN (SELECT p_partkey FROM part WHERE p_type = 'SMALL') OR depth = 0)) SELECT root, node, min(depth) AS depth, node IN (SELECT p_partkey FROM part WHERE p_type = 'SMALL') AS is_entry FROM r GROUP BY root, node HAVING min(depth) > 0")
 def caller_trace(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    return callgraph.callers(nodes.where("node % 100 = 0"), _edges(spark, sf_dir), nodes.where("node % 10 = 1"), ["g"]).select("root", "node", "depth", "is_entry")
+    return callgraph.callers(nodes, _edges(spark, sf_dir), nodes.where("p_type = 'SMALL'"), ["g"]).select("root", "node", "depth", "is_entry")
 
 
-@query("sensitive_api_scan", "SELECT page_id, CAST((html LIKE '%<script%') AS INT) + CAST((html LIKE '%track(%') AS INT) AS hits FROM pages WHERE html LIKE '%<script%' OR html LIKE '%track(%'")
-def sensitive_api_scan(spark, sf_dir):
-    hits = F.col("html").contains("<script").cast("int") + F.col("html").contains("track(").cast("int")
-    return table(spark, sf_dir, "pages").select("page_id", hits.alias("hits")).where("hits > 0")
+_CALL_NAME = "CASE WHEN p_type = 'SMALL' THEN '<operator>.assignment' ELSE 'call' END"
+
+
+@query("sensitive_calls", f"""WITH {_EDGES_SQL}, k AS (SELECT p_partkey AS node, {_KIND} AS label, {_CALL_NAME} AS name, p_name AS callee, p_size % 2 + 1 AS i FROM part), api AS (SELECT p_name FROM part WHERE p_brand = 'Brand#13'),
+a AS (SELECT src AS node, min(callee) AS callee FROM e JOIN k ON node = dst WHERE i = 2 GROUP BY src)
+SELECT node FROM k LEFT JOIN a USING (node) WHERE label = 'CALL' AND CASE WHEN name = 'call' THEN k.callee ELSE a.callee END IN (SELECT p_name FROM api)""")
+def sensitive_calls(spark, sf_dir):
+    """Calls of what one brand's parts are named, assignments by their second argument."""
+    columns = [f"{_KIND} AS label", f"{_CALL_NAME} AS name", "p_name AS method_full_name", "CAST(p_partkey AS STRING) AS code", "p_size % 2 + 1 AS argument_index"]
+    nodes = table(spark, sf_dir, "part").selectExpr("0 AS g", "p_partkey AS node", *columns)
+    api = table(spark, sf_dir, "part").where("p_brand = 'Brand#13'").select(F.col("p_name").alias("full_name"))
+    return taint.sensitive_calls(nodes, api, _edges(spark, sf_dir).withColumn("label", F.lit("ARGUMENT")), ["g"]).select("node")
+
+
+_FILE = "concat(p_brand, '/', p_type)"
+_FULL_NAME = "concat(p_brand, CASE WHEN p_size % 7 = 0 THEN '.f' WHEN p_size = 3 THEN '.__init__' ELSE '.x' END)"
+_OUTER = "p_size = 35"
+
+
+@query("sensitive_subgraph", f"""WITH RECURSIVE {_EDGES_SQL}, k AS (SELECT p_partkey AS node, {_KIND} AS label, {_FILE} AS file_path, {_FULL_NAME} AS full_name, p_brand, {_OUTER} AS is_outer, p_name LIKE 'red%' AS hot FROM part),
+own AS (SELECT DISTINCT file_path FROM k WHERE is_outer), back AS (SELECT e.dst AS src, e.src AS dst, k.label FROM e JOIN k ON k.node = e.src WHERE (e.src + e.dst) % 4 <> 0 AND k.label IN ('CALL', 'METHOD')),
+s AS (SELECT src, dst FROM e UNION SELECT src, dst FROM back WHERE label = 'METHOD'),
+r AS (SELECT node AS root, file_path AS home, node FROM k WHERE label = 'METHOD' UNION SELECT root, home, k.node FROM r JOIN s ON s.src = r.node JOIN k ON k.node = s.dst WHERE k.file_path = home OR k.file_path NOT IN (SELECT file_path FROM own)),
+a AS (SELECT root, node FROM r UNION SELECT root, k.node FROM r JOIN back b ON b.src = r.node AND b.label = 'CALL' JOIN k ON k.node = b.dst WHERE k.file_path = home OR k.file_path NOT IN (SELECT file_path FROM own)
+  UNION SELECT root, c.node FROM r JOIN k m ON m.node = r.node AND m.label = 'METHOD' JOIN k c ON c.full_name IN (m.p_brand || '.<body>', m.p_brand || '.__init__'))
+SELECT root, node FROM a WHERE root IN (SELECT root FROM r JOIN k USING (node) WHERE hot)""")
+def sensitive_subgraph(spark, sf_dir):
+    columns = [f"{_KIND} AS label", f"{_FILE} AS file_path", f"{_FULL_NAME} AS full_name", f"{_OUTER} AS is_outer", "p_name LIKE 'red%' AS is_sensitive"]
+    nodes = table(spark, sf_dir, "part").selectExpr("0 AS g", "p_partkey AS node", *columns)
+    edges = _edges(spark, sf_dir).withColumn("label", F.when((F.col("src") + F.col("dst")) % 4 == 0, "FUNCTION_CALL").otherwise("DDG: x"))
+    return taint.sensitive_subgraphs(nodes.where("label = 'METHOD'"), nodes, edges, ["g"]).select("root", "node")

@@ -93,6 +93,18 @@ def test_taint(spark):
     assert {(r.old, r.new) for r in taint.likely(nodes, later, edges, edges).collect()} >= {("a", "a")}
 
 
+def test_sensitive_subgraph_adds_callers_but_does_not_follow_them(spark):
+    kinds = {"m": "METHOD", "a": "CALL", "c": "CALL", "d": "CALL", "x": "CALL", "p": "METHOD", "q": "CALL", "o": "METHOD", "z": "CALL"}
+    files = {"o": "o.py", "z": "o.py"}
+    nodes = spark.createDataFrame([(0, n, k, files.get(n, "f.py"), n == "a", n in "mo") for n, k in kinds.items()], "g int, node string, label string, file_path string, is_sensitive boolean, is_outer boolean")
+    edges = [("m", "a", "DDG"), ("c", "a", "DDG"), ("d", "c", "DDG"), ("c", "x", "DDG"), ("p", "a", "DDG"), ("p", "q", "DDG"), ("o", "a", "FUNCTION_CALL"), ("a", "z", "DDG")]
+    e = spark.createDataFrame([(0, *x) for x in edges], "g int, src string, dst string, label string")
+    got = taint.sensitive_subgraphs(nodes.where("node in ('m', 'o')"), nodes, e, ["g"])
+    # c is a call: added, but neither x nor d is reached through it; p is a method: followed; o calls, and z is another root's
+    # and o, to which f.py is closed, reaches nothing sensitive
+    assert {(r.root, r.node) for r in got.collect()} == {("m", n) for n in "macpq"}
+
+
 def test_graph_roots_with_cycles(spark):
     e = spark.createDataFrame([(0, 1, 2), (0, 2, 1), (0, 2, 3), (0, 4, 5), (0, 6, 6)], "g int, src long, dst long")
     n = spark.createDataFrame([(0, i) for i in range(1, 8)], "g int, node long")
