@@ -31,25 +31,32 @@ def hunks(diffs: DataFrame, keys: list[str], column: str = "diff") -> DataFrame:
     return rows.select(*keys, "file", "ord", num("a", "old_start"), num("b", "old_count"), num("c", "new_start"), num("d", "new_count"))
 
 
-def read_lines(diff: str) -> list[tuple[str, str, int, str]]:
-    """(file, side, line, text) of each changed line of a diff. A content line that itself starts with + or - is not recorded and moves both counters, as its marks read like a file header's."""
-    out, name, old, new = [], "", 0, 0
-    for line in (diff or "").split("\n"):
-        if line.startswith("diff --git "):
-            m = re.match(r"diff --git a/(.*?) b/(.*)", line)
-            name, old, new = (m[2] if m else ""), 0, 0
-        elif m := _HUNK.match(line):
-            old, new = int(m[1]), int(m[3])
-        elif not (old or new) or not name or line.startswith("\\"):
-            continue
-        elif line.startswith("+") and not line.startswith("++"):
-            out.append((name, "added", new, line[1:]))
-            new += 1
-        elif line.startswith("-") and not line.startswith("--"):
-            out.append((name, "deleted", old, line[1:]))
-            old += 1
-        elif line:
-            old, new = old + 1, new + 1
+def read_lines(diff: str, marks_hide: bool = True) -> list[tuple[str, str, int, str]]:
+    """(file, side, line, text) of each changed line of a diff; a hunk's lines are those that its header counts.
+
+    marks_hide: a changed line whose text itself starts with its mark reads like a file header (+++ or ---), so it is left
+    out, and moves the numbers of both sides like a line of context.
+    """
+    out = []
+    for part in re.split(r"(?m)^diff --git ", diff or "")[1:]:
+        named = re.match(r"a/(.*?) b/(.*)", part)
+        for head in re.finditer("(?m)" + _HUNK.pattern, part) if named else ():
+            a, n, b, m = (int(x) if x else 1 for x in head.groups())
+            at, left = {"-": a, "+": b}, {"-": n, "+": m}
+            for line in part[head.end() :].split("\n")[1:]:
+                if not any(left.values()):
+                    break
+                mark, text = line[:1], line[1:]
+                if mark in ("", "\\"):
+                    continue
+                own = mark if mark in at else "-+"
+                hidden = marks_hide and mark in at and text.startswith(mark)
+                if len(own) == 1 and not hidden:
+                    out.append((named[2], "added" if own == "+" else "deleted", at[own], text))
+                for side in own:
+                    left[side] -= 1
+                for side in "-+" if hidden else own:
+                    at[side] += 1
     return out
 
 
