@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from .rollups import COMMIT, resolved, typed
+from .graphs import settle
+from .rollups import COMMIT, history, resolved
 
 
 def states(df: DataFrame, label_col: str, keep_full_start: bool = False) -> DataFrame:
@@ -17,17 +18,21 @@ def states(df: DataFrame, label_col: str, keep_full_start: bool = False) -> Data
     that are a full attack at commit number 0 are left out.
     """
     label = F.col(f"{label_col}_resolved")
-    commits = df.select(*COMMIT).distinct()
-    rows = typed(df, label_col)
-    by_type = rows.where("type <> ''").groupBy(*COMMIT, "type").agg(L.merged(L.state_of(F.max(L.severity(label)))).alias("own"))
-    soft = rows.where(label.isin(L.BENIGN, L.UNDETERMINED)).groupBy(*COMMIT).agg(L.state_of(F.max(L.severity(label))).alias("soft"))
+    severity = F.when(label.isNotNull(), L.severity(label))
+    # one pass over the labels; a row per commit and type is left, the type null for labels that did not resolve
+    own = F.when(label.isNotNull(), F.nullif(L.malware_type("malware_type"), F.lit("")))
+    rows = resolved(df, label_col).withColumn("type", F.last(own, ignorenulls=True).over(history()))
+    rows = rows.withColumn("type", F.when(label.isNotNull(), F.coalesce("type", F.lit(""))))
+    one = settle(rows.groupBy(*COMMIT, "type").agg(F.max(severity).alias("worst"), F.max(F.when(label.isin(L.BENIGN, L.UNDETERMINED), severity)).alias("soft")))
+    commits = one.groupBy(*COMMIT).agg(L.state_of(F.max("soft")).alias("soft"))
+    by_type = one.where("type <> ''").select(*COMMIT, "type", L.merged(L.state_of(F.col("worst"))).alias("own"))
     types = by_type.select("repo_name", "type").distinct()
-    out = commits.join(types, "repo_name").join(by_type, [*COMMIT, "type"], "left").join(soft, COMMIT, "left")
+    out = commits.join(types, "repo_name").join(by_type, [*COMMIT, "type"], "left")
     out = out.select("repo_name", F.col("type").alias("malware_type"), "commit_num", "commit", F.coalesce("own", "soft", F.lit(L.MERGED)).alias("state"))
     if keep_full_start:
         return out
-    bad = out.where((F.col("commit_num") == 0) & (F.col("state") == L.FULL)).select("repo_name", "malware_type").distinct()
-    return out.join(bad, ["repo_name", "malware_type"], "left_anti")
+    full = F.max((F.col("commit_num") == 0) & (F.col("state") == L.FULL)).over(Window.partitionBy("repo_name", "malware_type"))
+    return out.withColumn("_full", full).where(~F.coalesce("_full", F.lit(False))).drop("_full")
 
 
 def assemble(rows: DataFrame, *keys: str) -> DataFrame:

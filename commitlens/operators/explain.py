@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from .graphs import settle
 
 CHAIN = ["repo_name", "malware_type"]
 
@@ -58,13 +59,14 @@ def ranked(scores: DataFrame, *more: str) -> DataFrame:
 def key_files(states: DataFrame, file_states: DataFrame) -> DataFrame:
     """The best and the second file of each chain."""
     c = file_states.select("repo_name", F.col("type").alias("malware_type"), F.col("file_token").alias("candidate_id"), "commit_num", "commit", "state")
-    return ranked(scored(states, c)).where("rank <= 2")
+    return settle(ranked(scored(states, c)).where("rank <= 2"))
 
 
 def key_slices(states: DataFrame, slice_states: DataFrame, files: DataFrame) -> DataFrame:
     """The best slice of each chain within its best and within its second file (file_rank)."""
     chosen = files.select(*CHAIN, F.col("candidate_id").alias("file_token"), F.col("rank").alias("file_rank"))
-    c = slice_states.select("repo_name", F.col("type").alias("malware_type"), F.col("slice_id").alias("candidate_id"), "file_token", "method", "commit_num", "commit", "state").join(chosen, [*CHAIN, "file_token"])
+    c = slice_states.select("repo_name", F.col("type").alias("malware_type"), F.col("slice_id").alias("candidate_id"), "file_token", "method", "commit_num", "commit", "state")
+    c = settle(c.join(chosen, [*CHAIN, "file_token"]))  # of the chosen files alone
     names = c.select(*CHAIN, "candidate_id", "file_token", "method", "file_rank").distinct()
     return ranked(scored(states, c).join(names, [*CHAIN, "candidate_id"]), "file_rank").where("rank = 1")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import verdicts as V
 from ..operators import chains, compare, explain, rollups
+from ..operators.graphs import settle
 from .inputs import CF_SQL, RESOLVED_SQL, SLICES_SQL, chains_sql, severity_sql, slices, state_sql
 from .registry import query
 
@@ -92,7 +93,7 @@ def chains_both_union(spark, sf_dir):
 
 def _states(spark, sf_dir):
     df = slices(spark, sf_dir)
-    return chains.states(df, "ground_truth"), chains.states(df, "prediction")
+    return settle(chains.states(df, "ground_truth")), settle(chains.states(df, "prediction"))
 
 
 def _keys(states):
@@ -179,7 +180,7 @@ _SHOWN = ["repo_name", "malware_type", "candidate_id", "t0_state", "onset_match"
 def _explained(spark, sf_dir):
     df = slices(spark, sf_dir)
     by_slice, by_file = rollups.slice_states(df, "ground_truth")
-    return chains.states(df, "ground_truth"), by_slice, by_file
+    return settle(chains.states(df, "ground_truth")), by_slice, by_file
 
 
 @query("key_file_rank", f"WITH {_RANK_SQL}, {_FILES_SQL} SELECT {', '.join(_SHOWN)} FROM fs WHERE rank <= 2")
