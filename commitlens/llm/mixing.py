@@ -4,8 +4,9 @@ Iterative proportional fitting rakes the tokens of every (source, language, topi
 target marginals of all three; a cell's factor over its own tokens, scaled so that the expected tokens meet a budget and
 cut at 1, is the chance with which each of its documents is taken. A document's draw is a hash of its id.
 
-The cells are few: beyond the named or heaviest values of a dimension the rest are pooled as "(other)". The fit is one
-expression over the cells as arrays.
+The raked weights of a cell are its tokens times a factor per source, one per language and one per topic. Cells are
+dealt by source, so that each round of fitting is one pass over them, and what goes between rounds is a row for each
+(language, topic). The budget's scale is found by passes that try many scales at once. No value is pooled or left out.
 
 Edge cases: a null source or language counts as "(none)"; a null or empty text has no tokens, and a cell without
 tokens keeps factor 1; repeated rows (same id) are all taken or none; a null id is drawn by its text; an empty table
@@ -14,123 +15,117 @@ gives no rows; columns beyond those named are ignored, and sampled() carries all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Values of a dimension that keep a cell of their own: the heaviest.
-MOST = {"source": 255, "lang": 63, "topic": 63}
 #: A marginal's targets are its shares to this power: 1 leaves it, 0 makes it even.
 FLATTEN = 0.7
 ROUNDS = 20
+#: Rounds in one plan, scales tried in one pass, and passes.
+TOGETHER, SCALES, PASSES = 4, 64, 10
 BUDGET = 0.5
 #: Topics stand for the length class of a document where the table has none of its own.
 TOPICS = "CASE WHEN n_tokens < 100 THEN 'brief' WHEN n_tokens < 1000 THEN 'article' ELSE 'treatise' END"
 
 
+DIMS = ["_source", "_lang", "_topic"]
+
+
 def prepared(docs: DataFrame, topic: str | None = None) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens and _u, the draw."""
-    tokens = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORDS)).cast("long")
-    df = docs.withColumn("_tokens", tokens)
+    """_row, a struct of docs' columns, with _source, _lang, _topic, _tokens and _u, the draw."""
+    text = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    df = df.withColumn("_tokens", F.regexp_count(text, F.lit(WORDS)).cast("long"))
     own = F.expr((topic or TOPICS).replace("n_tokens", "_tokens"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    key = F.coalesce(F.col("_row.doc_id").cast("string"), F.md5(text.cast("binary")))
     u = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), key).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    return df.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("(none)")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("(none)")), "_topic": F.coalesce(own, F.lit("(none)")), "_u": u})
-
+    none = F.lit("(none)")
+    return df.withColumns({"_source": F.coalesce(F.col("_row.source").cast("string"), none), "_lang": F.coalesce(F.col("_row.lang").cast("string"), none), "_topic": F.coalesce(own, none), "_u": u})
 
-def pooled(cells: DataFrame, most: dict[str, int] = MOST, named: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Cells with the lighter values of each dimension as (other), added to each value's own name: _source_as and so on. Named values are kept however light."""
-    for k, n in most.items():
-        sums = cells.groupBy(f"_{k}").agg(F.sum("w").alias("_w"))
-        top = sums.orderBy(F.desc("_w"), f"_{k}").limit(n).select(F.col(f"_{k}").alias("_name"))
-        if own := list((named or {}).get(k, ())):
-            top = top.union(sums.where(F.col(f"_{k}").isin(own)).select(f"_{k}")).distinct()
-        cells = cells.join(F.broadcast(top), F.col(f"_{k}") == F.col("_name"), "left").withColumn(f"_{k}_as", F.coalesce("_name", F.lit("(other)"))).drop("_name")
-    return cells
 
+def _targets(cells: DataFrame, dim: str, flatten: float, named: dict[str, float] | None) -> DataFrame:
+    """dim and its target in tokens (_want): named shares, or the marginal's own, flattened."""
+    total = cells.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("_total"))
+    sums = cells.groupBy(dim).agg(F.sum("w").alias("_sum")).crossJoin(F.broadcast(total))  # one row
+    if named is not None:
+        shares = F.create_map(*[F.lit(x) for k, v in (named or {"": 0.0}).items() for x in (k, float(v))])
+        share = F.coalesce(shares[F.col(dim)], F.lit(0.0))
+    else:
+        share = F.when(F.col("_sum") > 0, F.pow(F.col("_sum") / F.col("_total"), F.lit(flatten))).otherwise(0.0)
+    rows = sums.select(dim, share.alias("_share"), "_total")
+    whole = rows.agg(F.sum("_share").alias("_whole"))
+    return rows.crossJoin(F.broadcast(whole)).select(dim, F.coalesce(F.try_divide(F.col("_share") * F.col("_total"), F.nullif("_whole", F.lit(0.0))), F.lit(0.0)).alias("_want"))
 
-def _fit_sql(rounds: int, budget: float) -> tuple[str, str]:
-    """Expressions over the arrays cells, ts, tl, tt: the raked weights, and the scale of the chances from the factors f."""
-
-    def step(w: str, dim: str, targets: str) -> str:
-        sums = f"transform({targets}, (_, i) -> aggregate(zip_with(cells, {w}, (c, x) -> if(c.{dim} = i, x, 0D)), 0D, (a, x) -> a + x))"
-        return f"transform(array({sums}), m -> transform({w}, (x, j) -> if(m[cells[j].{dim}] = 0D, 0D, x * {targets}[cells[j].{dim}] / m[cells[j].{dim}])))[0]"
 
-    inner = f"transform(array({step('w0', 's', 'ts')}), w1 -> transform(array({step('w1', 'l', 'tl')}), w2 -> {step('w2', 't', 'tt')})[0])[0]"
-    raked = f"aggregate(sequence(1, {rounds}), transform(cells, c -> c.w), (w0, k) -> {inner})"
-    taken = "aggregate(zip_with(cells, f, (c, x) -> c.w * least(1D, x * (b.lo + b.hi) / 2)), 0D, (a, x) -> a + x)"
-    most = "aggregate(f, 0D, (a, x) -> greatest(a, if(x > 0D, 1 / x, 0D)))"
-    scale = f"aggregate(sequence(1, 60), named_struct('lo', 0D, 'hi', {most}), (b, k) -> if({taken} < {budget}D * total, named_struct('lo', (b.lo + b.hi) / 2, 'hi', b.hi), named_struct('lo', b.lo, 'hi', (b.lo + b.hi) / 2)), b -> b.hi)"
-    return raked, scale
+def _to(weight: Column, dim: str) -> Column:
+    """What takes the sum of weight over each value of dim to its target."""
+    return F.coalesce(F.try_divide(F.col(f"_want{dim}"), F.nullif(F.sum(weight).over(Window.partitionBy(dim)), F.lit(0.0))), F.lit(0.0))
 
 
 def fit(cells: DataFrame, flatten: float = FLATTEN, rounds: int = ROUNDS, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """_source_as, _lang_as, _topic_as, _factor and _p (the chance) of every pooled cell (columns w and the names).
+    """_source, _lang, _topic, _factor and _p (the chance) of every cell (columns w and the three).
 
     targets: per dimension, shares by value (values left out: 0); a dimension left out is flattened.
     """
-    dims = {"source": "s", "lang": "l", "topic": "t"}
-    own = cells.groupBy("_source_as", "_lang_as", "_topic_as").agg(F.sum("w").cast("double").alias("w"))
-    # one row: the number of cells is bounded by the pooled names
-    row = own.agg(F.array_sort(F.collect_list(F.struct("_source_as", "_lang_as", "_topic_as", "w"))).alias("named"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("total"))
-    for k, d in dims.items():
-        row = row.withColumn(f"n{d}", F.array_sort(F.array_distinct(F.transform("named", lambda c: c[f"_{k}_as"]))))
-        if targets and k in targets:
-            shares = F.create_map(*[F.lit(x) for kv in targets[k].items() for x in (kv[0], float(kv[1]))])
-            raw = F.transform(f"n{d}", lambda name: F.coalesce(shares[name], F.lit(0.0)))
-        else:
-            sums = F.transform(f"n{d}", lambda name: F.aggregate(F.filter("named", lambda c: c[f"_{k}_as"] == name), F.lit(0.0), lambda a, c: a + c["w"]))
-            raw = F.transform(sums, lambda x: F.when(x > 0, F.pow(x / F.col("total"), F.lit(flatten))).otherwise(0.0))
-        row = row.withColumn(f"r{d}", raw)
-        whole = F.aggregate(f"r{d}", F.lit(0.0), lambda a, x: a + x)
-        row = row.withColumn(f"t{d}", F.transform(f"r{d}", lambda x: x / whole * F.col("total")))
-    at = lambda c, k, d: (F.array_position(F.col(f"n{d}"), c[f"_{k}_as"]) - 1).cast("int").alias(d)
-    row = row.withColumn("cells", F.transform("named", lambda c: F.struct(*[at(c, k, d) for k, d in dims.items()], c["w"].alias("w"))))
-    raked, scale = _fit_sql(rounds, budget)
-    row = row.withColumn("raked", F.expr(raked)).withColumn("f", F.expr("zip_with(cells, raked, (c, x) -> if(c.w > 0D, x / c.w, 1D))")).withColumn("scale", F.expr(scale))
-    out = row.select(F.explode(F.arrays_zip("named", "f")).alias("c"), "scale")
-    return out.select("c.named._source_as", "c.named._lang_as", "c.named._topic_as", F.col("c.f").alias("_factor"), F.least(F.lit(1.0), F.col("c.f") * F.col("scale")).alias("_p"))
-
-
-def weighed(docs: DataFrame, topic: str | None = None, most: dict[str, int] = MOST, **how) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _factor, _p (the chance) and _taken."""
+    want = {d: cut(_targets(cells, d, flatten, (targets or {}).get(d[1:]))).withColumnRenamed("_want", f"_want{d}") for d in DIMS}
+    own = cut(cells.join(want["_source"], "_source").repartition("_source"))
+    pair = ["_lang", "_topic", "_want_lang", "_want_topic"]
+    between = cut(cells.select("_lang", "_topic").distinct().join(want["_lang"], "_lang").join(want["_topic"], "_topic").withColumn("_by", F.lit(1.0)))
+    for k in range(max(1, rounds)):
+        # the source's factor from what the others are now, then the languages' and the topics' from the sums over sources
+        sourced = own.join(between, ["_lang", "_topic"]).withColumn("_v", F.col("w") * _to(F.col("w") * F.col("_by"), "_source"))
+        if k == max(1, rounds) - 1:
+            sourced = cut(sourced)
+        # a row for each language and topic: few enough for one task
+        sums = sourced.groupBy(*pair, "_by").agg(F.sum("_v").alias("_m")).coalesce(1)
+        sums = sums.withColumn("_by", F.col("_by") * _to(F.col("_m") * F.col("_by"), "_lang"))
+        between = sums.select(*pair, (F.col("_by") * _to(F.col("_m") * F.col("_by"), "_topic")).alias("_by"))
+        if (k + 1) % TOGETHER == 0 or k == max(1, rounds) - 1:
+            between = cut(between)
+    raked = sourced.select(*DIMS, "w", "_v").join(between.select("_lang", "_topic", "_by"), ["_lang", "_topic"])
+    raked = cut(raked.select(*DIMS, "w", F.when(F.col("w") > 0, F.col("_v") * F.col("_by") / F.col("w")).otherwise(1.0).alias("_factor")))
+    return raked.crossJoin(F.broadcast(_scale(raked, budget))).select(*DIMS, "_factor", F.least(F.lit(1.0), F.col("_factor") * F.col("_scale")).alias("_p"))
+
+
+def _scale(raked: DataFrame, budget: float) -> DataFrame:
+    """One row: the least _scale of the factors with which the expected tokens meet the budget."""
+    most = F.max(F.when(F.col("_factor") > 0, 1 / F.col("_factor")))
+    at = raked.agg(F.lit(0.0).alias("lo"), F.coalesce(most, F.lit(0.0)).alias("hi"), F.coalesce(F.sum("w") * budget, F.lit(0.0)).alias("goal"))
+    for k in range(PASSES):
+        tried = at.withColumn("x", F.explode(F.transform(F.sequence(F.lit(1), F.lit(SCALES)), lambda j: F.col("lo") + (F.col("hi") - F.col("lo")) * (j / F.lit(float(SCALES))))))
+        got = raked.select("w", "_factor").crossJoin(F.broadcast(tried)).groupBy("lo", "hi", "goal", "x").agg(F.sum(F.col("w") * F.least(F.lit(1.0), F.col("_factor") * F.col("x"))).alias("g"))
+        low, high = F.max(F.when(F.col("g") < F.col("goal"), F.col("x"))), F.min(F.when(F.col("g") >= F.col("goal"), F.col("x")))
+        at = got.groupBy("lo", "hi", "goal").agg(low.alias("_low"), high.alias("_high")).select(F.coalesce("_low", "lo").alias("lo"), F.coalesce("_high", "hi").alias("hi"), "goal")
+        if (k + 1) % 5 == 0:
+            at = cut(at)
+    return at.select(F.col("hi").alias("_scale"))
+
+
+def weighed(docs: DataFrame, topic: str | None = None, **how) -> DataFrame:
+    """_row with _source, _lang, _topic, _tokens, _factor, _p (the chance) and _taken."""
     df = prepared(docs, topic)
-    cells = cut(pooled(df.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("w")), most, how.get("targets")))
-    fitted = cut(fit(cells, **how))  # bounded by the pooled names
-    if _within(cells, _CELLS):
-        # a cell for each combination of values, checked to be few
-        chances = F.broadcast(cells.join(F.broadcast(fitted), ["_source_as", "_lang_as", "_topic_as"]).select("_source", "_lang", "_topic", "_factor", "_p"))
-        df = df.join(chances, ["_source", "_lang", "_topic"])
-    else:
-        for k in most:  # values without end: only the pooled names, bounded too, are sent out
-            df = df.join(F.broadcast(cells.select(F.col(f"_{k}_as").alias("_as")).distinct()), F.col(f"_{k}") == F.col("_as"), "left").withColumn(f"_{k}_as", F.coalesce("_as", F.lit("(other)"))).drop("_as")
-        df = df.join(F.broadcast(fitted), ["_source_as", "_lang_as", "_topic_as"]).drop(*[f"_{k}_as" for k in most])
-    return df.withColumn("_taken", F.col("_u") < F.col("_p"))
-
-
-_CELLS = 50_000
-
-
-def _within(df: DataFrame, n: int) -> bool:
-    return df.limit(n + 1).count() <= n
+    cells = cut(df.groupBy(*DIMS).agg(F.sum("_tokens").cast("double").alias("w")))
+    # sent out whole where it is small by the session's own bound, else joined by shuffles
+    return df.join(cut(fit(cells, **how)), DIMS).withColumn("_taken", F.col("_u") < F.col("_p"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, the dimensions, n_tokens, weight, probability and selected of every row."""
     return weighed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang"), **how).select(
-        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_factor", 6).alias("weight"), F.round("_p", 6).alias("probability"), F.col("_taken").alias("selected")
+        "_row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_factor", 6).alias("weight"), F.round("_p", 6).alias("probability"), F.col("_taken").alias("selected")
     )
 
 
 def sampled(docs: DataFrame, **how) -> DataFrame:
     """The rows taken, with docs' columns."""
-    return weighed(docs, **how).where("_taken").select(*docs.columns)
+    return weighed(docs, **how).where("_taken").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def oracle(flatten: float = FLATTEN, rounds: int = ROUNDS, budget: float = BUDGET) -> str:
-    """DuckDB SQL of mix()'s rows, for tables whose dimensions need no pooling."""
+    """DuckDB SQL of mix()'s rows."""
     sql = [f"""WITH d0 AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS BIGINT) AS n_tokens,
   CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13))::BIGINT AS DOUBLE) / {float(16**13)} AS u FROM documents),
 d AS (SELECT *, {TOPICS} AS topic FROM d0),

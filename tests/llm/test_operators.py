@@ -455,8 +455,56 @@ def test_mixing_meets_marginals(docs, odd, none):
     assert abs((got.n_tokens * got.probability).sum() / got.n_tokens.sum() - 0.4) < 0.01
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0
     assert mixing.sampled(odd, budget=1.0).columns == odd.columns
-    few = mixing.mix(docs, most={"source": 2, "lang": 1, "topic": 1})
-    assert few.count() == docs.count()
+
+
+def test_mixing_pools_no_value(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.choice([3, 40, 150, 1200]), rng.choice(["en", "de", None] + [f"l{k}" for k in range(70)]), f"s{rng.randrange(300)}") for i in range(1500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), rounds=8).toPandas()
+    cells = got.groupby(["source", "lang", "topic"]).n_tokens.sum().reset_index()
+    assert cells.source.nunique() > 256 and cells.lang.nunique() > 64
+    c = cells.n_tokens.to_numpy(float)
+    x = c.copy()
+    want = {}
+    for k in ("source", "lang", "topic"):
+        r = (cells.groupby(k).n_tokens.sum() / c.sum()) ** mixing.FLATTEN
+        want[k] = cells[k].map(r / r.sum() * c.sum()).to_numpy()
+    for _ in range(8):
+        for k in ("source", "lang", "topic"):
+            x = x * want[k] / np.array(cells.assign(x=x).groupby(k).x.transform("sum"))
+    factor = x / c
+    lo, hi = 0.0, 1 / factor.min()
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (c * np.minimum(1, factor * mid)).sum() < mixing.BUDGET * c.sum() else (lo, mid)
+    cells["f"], cells["p"] = factor, np.minimum(1, factor * hi)
+    both = got.merge(cells, on=["source", "lang", "topic"])
+    assert len(both) == len(rows) and (both.weight - both.f).abs().max() < 2e-6 and (both.probability - both.p).abs().max() < 2e-6
+
+
+def test_clashing_columns_are_carried(spark, docs):
+    names = ["_row", "_text", "_assign", "_spans", "_new", "_kept", "_u", "_p", "_factor", "_taken", "_tokens", "_key", "a.b"]
+    rows = [(i, "password: abcdefgh%d and more words" % i, "en", "s", 5, *[f"{n}{i}" for n in names]) for i in range(3)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    table = [0.0] * 16384
+    for out in (secrets.redacted(df, table), mixing.sampled(df, budget=1.0), jaccard.deduplicated(df)):
+        got = out.collect()
+        assert out.columns == df.columns and got and all(tuple(r)[5:] == tuple(f"{n}{r.doc_id}" for n in names) for r in got)
+    assert {r.text for r in secrets.redacted(df, table).collect()} == {"[secret] and more words"}
+
+
+def test_redaction_of_many_spans(spark):
+    table = [0.0] * 16384
+    text = "".join(f"é{i} token=abcdefgh{i} {'f' * 32}token: x{i}yzabcdef\n" for i in range(5000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = [tuple(map(int, x.split(":")[1:])) for x in secrets.scan(df, table).first().spans.split(",")]
+    assert len(spans) == 15000
+    want, at = [], 0
+    for a, b in sorted(spans):
+        if a > at or not want:
+            want.append(text[at:a])
+        at = max(at, b)
+    assert secrets.redacted(df, table).first().text == "[secret]".join([*want, text[at:]])
 
 
 def test_mixing_targets(docs):
@@ -468,6 +516,6 @@ def test_mixing_targets(docs):
 def test_mixing_targets_of_light_values(spark):
     rows = [(i, "w " * (1 if i % 4 == 0 else 50), "en", f"s{i % 4}") for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = mixing.mix(df, targets={"source": {"s0": 0.1, "s1": 0.9}}, most={"source": 1, "lang": 1, "topic": 1}).toPandas()
+    got = mixing.mix(df, targets={"source": {"s0": 0.1, "s1": 0.9}}).toPandas()
     w = (got.n_tokens * got.weight).groupby(got.source).sum() / (got.n_tokens * got.weight).sum()
     assert abs(w["s0"] - 0.1) < 0.01 and abs(w["s1"] - 0.9) < 0.01
