@@ -48,13 +48,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, zero: Column, op) -> Column:
+    """op over the elements before each element, by two levels of blocks."""
+    block = lambda b: F.aggregate(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)), zero, op)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / _BLOCK).cast("int")), block)
+    before = lambda s: F.transform(s, lambda _, b: F.aggregate(F.slice(s, F.lit(1), b), zero, op))
+    inner = lambda i: F.aggregate(F.slice(values, i - i % _BLOCK + 1, i % _BLOCK), zero, op)
+    return let(blocks, lambda s: let(before(s), lambda at: F.transform(values, lambda _, i: op(F.get(at, F.floor(i / _BLOCK).cast("int")), inner(i)))))
+
+
 def offsets(lengths: Column) -> Column:
     """The sums of the lengths before each element."""
-    block = lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / _BLOCK).cast("int")), block)
-    before = lambda s: F.transform(s, lambda _, b: F.aggregate(F.slice(s, F.lit(1), b), F.lit(0), lambda a, x: a + x))
-    inner = lambda i: F.aggregate(F.slice(lengths, i - i % _BLOCK + 1, i % _BLOCK), F.lit(0), lambda a, x: a + x)
-    return let(blocks, lambda s: let(before(s), lambda at: F.transform(lengths, lambda _, i: F.get(at, F.floor(i / _BLOCK).cast("int")) + inner(i))))
+    return running(lengths, F.lit(0), lambda a, x: a + x)
 
 
 def with_spans(df: DataFrame, text: str, pattern: str, kind: str, out: str) -> DataFrame:
@@ -167,9 +172,16 @@ def random_spans(value: Column, table: list[float]) -> Column:
     return let(scores(value, table), lambda x: F.when(_unlikely(sums(x, lambda v: v), F.length(value)), whole).when(sums(x, lambda v: F.greatest(v, F.lit(0.0))) < LLR, none).otherwise(_segments(x, value)))
 
 
-def left_over(run: Column, base: Column) -> Column:
-    """start and end of what base spans leave of a run, where long enough."""
-    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+def blocked(spans: Column) -> Column:
+    """Sorted spans in blocks, with the least start (lo) and the largest end (hi) of each."""
+    cut = lambda b: let(F.slice(spans, b * _BLOCK + 1, F.lit(_BLOCK)), lambda x: F.struct(F.get(x, F.lit(0))["start"].alias("lo"), F.array_max(F.transform(x, lambda y: y["end"])).alias("hi"), x.alias("spans")))
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(spans) / _BLOCK).cast("int")), cut)
+
+
+def left_over(run: Column, blocks: Column) -> Column:
+    """start and end of what base spans (as blocked() gives them) leave of a run, where long enough."""
+    near = F.filter(blocks, lambda b: (b["lo"] < run["end"]) & (run["start"] < b["hi"]))
+    over = F.filter(F.flatten(F.transform(near, lambda b: b["spans"])), lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
     piece = lambda a, to: F.when(to - a["at"] >= LEAST["markov"], F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), to.alias("end"))).cast(_SPAN))).otherwise(a["out"])
     state = lambda at, out: F.struct(at.alias("at"), out.alias("out")).cast("struct<at:int,out:" + _SPAN + ">")
     return F.aggregate(over, state(run["start"], F.array().cast(_SPAN)), lambda a, b: state(F.greatest(a["at"], b["end"]), piece(a, b["start"])), lambda a: piece(a, run["end"]))
@@ -182,11 +194,12 @@ def scanned(docs: DataFrame, table: list[float], text: str = "text") -> DataFram
         df = with_spans(df, "_text", pattern, kind, f"_{kind}")
     bare = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     df = df.withColumn("_base", F.array_sort(F.concat(bare("_assign"), bare("_access"), bare("_hex"))))
-    runs = F.transform("_markov", lambda r: F.transform(left_over(r, F.col("_base")), lambda p: F.struct(p["start"].alias("start"), F.substring(r["value"], p["start"] - r["start"] + 1, p["end"] - p["start"]).alias("value"))))
+    df = df.withColumn("_blocks", blocked(F.col("_base")))
+    runs = F.transform("_markov", lambda r: F.transform(left_over(r, F.col("_blocks")), lambda p: F.struct(p["start"].alias("start"), F.substring(r["value"], p["start"] - r["start"] + 1, p["end"] - p["start"]).alias("value"))))
     df = df.withColumn("_markov", F.flatten(runs))
     found = F.transform("_markov", lambda p: F.transform(random_spans(p["value"], table), lambda s: F.struct((p["start"] + s["start"]).alias("start"), F.lit(KINDS.index("markov")).alias("kind"), (p["start"] + s["end"]).alias("end"))))
     df = df.withColumn("_markov", F.flatten(found))
-    return df.withColumn("_spans", F.array_sort(F.concat("_base", bare("_markov")))).drop("_assign", "_access", "_hex", "_markov")
+    return df.withColumn("_spans", F.array_sort(F.concat("_base", bare("_markov")))).drop("_assign", "_access", "_hex", "_markov", "_blocks")
 
 
 def rendered(spans: str) -> Column:
@@ -203,19 +216,29 @@ def scan(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
 
 
 def redacted(docs: DataFrame, table: list[float] | None = None, mark: str = "[secret]") -> DataFrame:
-    """docs with every span of `text` replaced by a mark (a null text stays null) and n_chars, where there is one, counted anew."""
+    """docs with every span of `text` replaced by a mark (a null text stays null) and n_chars, where there is one, counted anew. Columns of any name are carried."""
     table = table or fit(labelled_samples(docs))
-    df = scanned(docs, table)
-    # spans that touch become one: a span opens a group where it starts beyond all ends before it
-    df = df.withColumn("_reach", F.transform("_spans", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("_spans", F.lit(1), i), lambda x: x["end"])), F.lit(-1))))
-    opens = F.filter(F.transform(F.arrays_zip("_spans", "_reach"), lambda z: F.when(z["_spans"]["start"] > z["_reach"], z["_spans"]["start"])), lambda x: x.isNotNull())
-    df = df.withColumn("_opens", opens)
-    ends = F.transform("_opens", lambda s, i: F.array_max(F.transform(F.filter("_spans", lambda x: (x["start"] >= s) & (x["start"] < F.coalesce(F.get("_opens", i + 1), F.lit(2**31 - 1)))), lambda x: x["end"])))
-    df = df.withColumn("_ends", ends)
-    # the text between groups, each with the mark before it but the first
-    kept = F.concat(F.array(F.substring("_text", F.lit(1), F.coalesce(F.get("_opens", F.lit(0)), F.length("_text")))), F.transform("_ends", lambda e, i: F.substring("_text", e + 1, F.coalesce(F.get("_opens", i + 1), F.length("_text")) - e)))
-    text = F.when(F.size("_spans") > 0, F.array_join(kept, mark)).otherwise(F.col("_text"))
-    df = df.withColumn("text", F.when(F.col("text").isNotNull(), text))
+    df = scanned(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), table, "_row.text")
+    # spans that touch become one: a span opens a group where it starts beyond all ends before it, and a group ends
+    # where those ends have got to when the next one opens
+    ends = F.transform("_spans", lambda s: s["end"])
+    df = df.withColumn("_reach", running(ends, F.lit(-1), lambda a, x: F.greatest(a, x)))
+    zipped = F.arrays_zip(F.transform("_spans", lambda s: s["start"]).alias("start"), F.col("_reach").alias("reach"))
+    df = df.withColumn("_opens", F.filter(zipped, lambda z: z["start"] > z["reach"]))
+    # the text between groups, from `begin` to `end`
+    last = F.array(F.struct(F.length("_text").alias("start"), F.coalesce(F.array_max(ends), F.lit(0)).alias("reach")))
+    df = df.withColumn("_kept", F.transform(F.concat("_opens", last), lambda o, i: F.struct(F.when(i == 0, 0).otherwise(o["reach"]).alias("begin"), o["start"].alias("end"))))
+
+    def block(b: Column) -> Column:
+        own = F.slice("_kept", b * _BLOCK + 1, F.lit(_BLOCK))
+        begin = F.get(own, F.lit(0))["begin"]
+        part = F.substring("_text", begin + 1, F.element_at(own, F.lit(-1))["end"] - begin)
+        return let(part, lambda t: F.transform(own, lambda k: F.substring(t, k["begin"] - begin + 1, k["end"] - k["begin"])))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size("_kept") - 1) / _BLOCK).cast("int"))
+    text = F.when(F.size("_spans") > 0, F.array_join(F.flatten(F.transform(blocks, block)), mark)).otherwise(F.col("_text"))
+    df = df.withColumn("_new", F.when(F.col("_row.text").isNotNull(), text))
+    new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+        new["n_chars"] = F.length("_new").cast(docs.schema["n_chars"].dataType)
+    return df.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
