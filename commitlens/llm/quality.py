@@ -102,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, train
     # train_rows bounds the broadcast side
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi")
     truth = {r.doc_id: r.quality for r in own.collect()}
-    rows = sorted((r.doc_id, r.x) for r in featurized(mine).limit(4 * train_rows).collect())
+    # of rows of one id the least features count, so that at most train_rows come, the same in every run
+    rows = sorted((r.doc_id, r.x) for r in featurized(mine).groupBy("doc_id").agg(F.min("x").alias("x")).collect())
     if not rows:
         return None
     return fit_pairs(np.array([x for _, x in rows]), np.array([truth[i] for i, _ in rows]))
