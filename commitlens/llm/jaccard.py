@@ -428,9 +428,10 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """One row of each component, that of the least id, with docs' columns; rows of one id and rows without an id and of one text count as repeated."""
     # a row without an id is named by its text, beyond all usual ids
     nameless = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1 << 61))
-    own = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), nameless))
-    stay = grouped(own.select(F.col("_key").alias("doc_id"), "text"), width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return own.join(cut(stay), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), nameless).alias("_key"), row)
+    stay = grouped(own.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text")), width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return own.join(cut(stay), "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def _best(near: DataFrame) -> DataFrame:
