@@ -19,6 +19,7 @@ mark that stands for spaces, in a text itself, is spelled by bytes, so decoding
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -45,6 +46,16 @@ def escaped(text: str) -> str:
     return SPACE + text.replace(SPACE, _STAND_IN).replace(" ", SPACE) if text else ""
 
 
+def split(text: str) -> list[str]:
+    """The chunks of an escaped text, as _CHUNKS finds them."""
+    if "\0" in text:
+        return _CHUNKS.findall(text)
+    text = text.replace("\n", "\0\n\0").replace(SPACE, "\0" + SPACE).replace(SPACE + "\0\n", SPACE + "\n")
+    while SPACE + "\0" + SPACE in text:
+        text = text.replace(SPACE + "\0" + SPACE, SPACE + SPACE)
+    return list(filter(None, text.split("\0")))
+
+
 def decode(ids, v: Vocabulary) -> str:
     """The text of piece ids."""
     if not hasattr(v, "spelled"):
@@ -276,7 +287,7 @@ class Search:
         # what is left at each choice: all but the edge taken there (and at the split, the ones taken before). Along the
         # path these are falls of the chance of having stayed on it, so sums over stretches need its ends alone
         fall = np.r_[0.0, np.cumsum(q)]
-        left = lambda lo, hi: float(np.exp(fall[lo]) * -np.expm1(fall[hi] - fall[lo]))
+        left = lambda lo, hi: math.exp(fall[lo]) * -math.expm1(fall[hi] - fall[lo])
         here = left(0, 1)
         if self.gone:
             node = paths.node_of(int(edges[0]))
@@ -290,7 +301,8 @@ class Search:
             total = sum(m for _, _, m in parts)
             if not total > 0.0:
                 break
-            log_e = float(np.logaddexp(log_e, np.log(self.rng.exponential()) - base - np.log(total)))
+            more = math.log(self.rng.exponential()) - base - math.log(total)
+            log_e = max(log_e, more) + math.log1p(math.exp(-abs(log_e - more)))
             u, at = self.rng.random() * total, 0
             while u >= parts[at][2] and at < len(parts) - 1:
                 u, at = u - parts[at][2], at + 1
@@ -300,8 +312,8 @@ class Search:
             i = lo
             if hi - lo > 1:
                 path = -fall[lo : hi + 1]
-                with np.errstate(divide="ignore"):
-                    j = np.searchsorted(path, -np.log(max(0.0, np.exp(fall[lo]) - u)), side="right")
+                stay = math.exp(fall[lo]) - u
+                j = np.searchsorted(path, -math.log(stay), side="right") if stay > 0 else len(path)
                 i = lo + int(min(j, np.searchsorted(path, path[-1], side="left"))) - 1
             parts[at : at + 1] = [(x, y, left(x, y)) for x, y in ((lo, i), (i + 1, hi)) if y > x]
             self.waiting.append((log_e, len(self.before) + i, whole, self.chunk + int(np.searchsorted(ends, i, side="right")), [*(self.gone if i == 0 else []), int(edges[i])]))
@@ -392,10 +404,10 @@ def encode(docs: DataFrame, k: int = K, sharpness: float = SHARPNESS, base_seed:
 
         def fn(b):
             ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            split = [_CHUNKS.findall(escaped(t)) for t in texts]
-            at = paths.numbers([c for x in split for c in x])
+            chunks = [split(escaped(t)) for t in texts]
+            at = paths.numbers([c for x in chunks for c in x])
             rows, flat = [], []
-            own = np.split(at, np.cumsum([len(x) for x in split])[:-1])
+            own = np.split(at, np.cumsum([len(x) for x in chunks])[:-1])
             found = top_k(paths, own, [seed(i, t, base_seed) for i, t in zip(ids, texts, strict=True)], k)
             for doc_id, text, x, got in zip(ids, texts, own, found, strict=True):
                 z = float(paths.z[x].sum())
