@@ -13,7 +13,18 @@ SAME = "SAME AS BEFORE"
 MERGED = "Benign/Undetermined"
 ABSENT = "Absent"
 ALIASES = {"Benign Artifact": BENIGN, "Undetermined Call Chain": UNDETERMINED, "Fragmented Attack Chain": UNDETERMINED}
-PATTERNS = ["B/U->C->F", "B/U->F->C", "B/U->C_or_F", "C->F", "F->C", "ALL C", "ALL F"]
+#: Names of the kinds of chains, and the pattern that each stands for.
+CHAIN_KINDS = {
+    "benign_or_undetermined_to_core_to_full": "B/U->C->F",
+    "benign_or_undetermined_to_core": "B/U->C_or_F",
+    "benign_or_undetermined_to_full": "B/U->C_or_F",
+    "core_to_full_no_bu": "C->F",
+    "full_then_core_no_bu": "F->C",
+    "benign_or_undetermined_to_full_then_core": "B/U->F->C",
+    "all_core": "ALL C",
+    "all_full": "ALL F",
+}
+PATTERNS = ["B/U->C->F", "B/U->C_or_F", "C->F", "F->C", "B/U->F->C", "ALL C", "ALL F"]
 
 
 def text(c) -> Column:
@@ -110,3 +121,13 @@ def pattern(states, merge_bu: bool = False) -> Column:
         .when(core < full, F.when(bu, "B/U->C->F").otherwise("C->F"))
         .otherwise(F.when(bu, "B/U->F->C").otherwise("F->C"))
     )
+
+
+def kind_pattern(kind) -> Column:
+    """The pattern that a kind of chains stands for; null for an unknown kind."""
+    return F.try_element_at(F.create_map(*[F.lit(v) for kv in CHAIN_KINDS.items() for v in kv]), text(kind))
+
+
+def plot_state(c) -> Column:
+    """A label by its own name, the merged state as it is; null for blank text."""
+    return F.nullif(canonical(c), F.lit(""))

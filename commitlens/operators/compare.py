@@ -90,6 +90,11 @@ def inconsistent(a: DataFrame, b: DataFrame, values: list[str], keys: list[str]
     return both.where((F.col("_merge") != "both") | differs).drop("_l", "_r")
 
 
+def inconsistent_repos(rows: DataFrame) -> DataFrame:
+    """One row: repos with an inconsistent row, and the rows."""
+    return rows.agg(F.count_distinct("repo_name").alias("n_repos"), F.count("*").alias("n_rows"))
+
+
 def updated(target: DataFrame, updates: DataFrame, column: str, new: str, keys: list[str] = KEY4) -> DataFrame:
     """target with column replaced where a key has an update (an empty one counts); adds matched and changed. Unmatched updates add no row."""
     up = updates.select(*keys, F.coalesce(F.col(new), F.lit("")).alias("_new"), F.lit(True).alias("_is"))

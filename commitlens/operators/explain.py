@@ -82,3 +82,9 @@ def evolution(states: DataFrame, slice_states: DataFrame, file_states: DataFrame
     next_slice = slices.where("file_rank = 2").select(*CHAIN, F.col("candidate_id").alias("runner_up_slice"), F.col("method").alias("runner_up_slice_method"), F.col("coverage").alias("runner_up_slice_coverage"), F.col("ratio").alias("runner_up_slice_ratio"))
     out = best.join(own, CHAIN).join(next_file, CHAIN, "left").join(next_slice, CHAIN, "left")
     return out.withColumn("multi_source", (F.col("key_file_ratio") < threshold).cast("int"))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """One row over evolution's: all cases, those of several sources, and those whose key file or key slice covers every malicious commit."""
+    full = lambda c: F.count_if(F.col(c) == F.col("malicious_commits"))
+    return rows.agg(F.count("*").alias("total_cases"), F.count_if(F.col("multi_source") == 1).alias("multi_source_cases"), full("key_file_coverage").alias("full_file_coverage_cases"), full("key_slice_coverage").alias("full_slice_coverage_cases"))

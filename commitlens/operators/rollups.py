@@ -91,3 +91,18 @@ def slice_states(df: DataFrame, label_col: str) -> tuple[DataFrame, DataFrame]:
     rows = typed(df, label_col).where("type <> ''").withColumn("_id", L.slice_identity("code_slice"))
     rows = rows.select(*COMMIT, "type", "slice_id", F.col("_id.method").alias("method"), F.col("_id.file_token").alias("file_token"), F.col(f"{label_col}_resolved").alias("state"))
     return (rows.groupBy(*COMMIT, "type", "slice_id", "method", "file_token").agg(worst(F.col("state")).alias("state")), rows.groupBy(*COMMIT, "type", "file_token").agg(worst(F.col("state")).alias("state")))
+
+
+def in_result_order(rows: DataFrame) -> DataFrame:
+    """Rows (repo_name, commit_num, commit, file) with rank: their place in the repo's result table, by number, hash and file."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("repo_name").orderBy("commit_num", "commit", "file")))
+
+
+def in_list_order(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows of listed repos (repo_name, ord) sorted as the list names them, then by commit."""
+    return rows.drop("ord").join(listed.select("repo_name", "ord"), "repo_name").orderBy("ord", "commit_num", "commit")
+
+
+def by_name(c) -> list:
+    """Sort keys of names in any case; of names that differ in case alone, upper case comes first."""
+    return [F.lower(c), F.col(c)]

@@ -16,6 +16,34 @@ def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str] | N
     out.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+def rewrite(df: DataFrame, path: str, columns: list[str], backup: bool = False) -> None:
+    """The Parquet table at path replaced by df's columns, which may be read from it: written beside it first, then renamed.
+
+    With backup the table before stays at path.bak. A write that fails leaves the table as it was; a driver lost between
+    the two renames leaves it at path.old.
+    """
+    spark = df.sparkSession
+    jvm = spark._jvm
+    at, new, old, kept = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".new", ".old", ".bak"))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def move(a, b):
+        fs.delete(b, True)
+        if not fs.rename(a, b):
+            raise OSError(f"can't rename {a} to {b}")
+
+    df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]).write.mode("overwrite").parquet(new.toString())
+    had = fs.exists(at)
+    if had:
+        move(at, old)
+    move(new, at)
+    if had:
+        if backup:
+            move(old, kept)
+        else:
+            fs.delete(old, True)
+
+
 def append(df: DataFrame, path: str, columns: list[str]) -> None:
     """Rows appended to a Parquet table whose columns must be these."""
     spark = df.sparkSession
