@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The key of a code graph.
+K = ["repo", "commit"]
+
 
 def settle(df: DataFrame) -> DataFrame:
     """df written as a table in the folder that the cluster names for checkpoints, and read back; in local mode a folder is made where none is named.

@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graphs import reversed_edges
-from .taint import K
+from .graphs import K, reversed_edges
 
 UNKNOWN = "unknown"
 #: Files that say that there is none.
@@ -81,11 +80,13 @@ def relation_nodes(nodes: DataFrame, full: DataFrame, keys: list[str] = K) -> Da
 
 
 def project_calls(calls: DataFrame, files: DataFrame, keys: list[str] = K) -> DataFrame:
-    """Calls (method_full_name, type_hint) that may be the project's own: not builtin; of no file that is known or Python; or whose file, or its topmost folder, is in files (keys, path)."""
+    """Calls (method_full_name, and dynamic_type_hint where there is one) that may be the project's own: not builtin; of no file that is known or Python; or whose file, or its topmost folder, is in files (keys, path)."""
     own = files.select(*keys, F.explode(F.array_distinct(F.array("path", F.substring_index("path", "/", 1)))).alias("_file")).distinct()
     file = F.substring_index(F.coalesce("method_full_name", F.lit("")), ":", 1)
     places = F.array_distinct(F.array(file, F.substring_index(file, "/", 1)))
-    cand = calls.where(~F.coalesce(F.col("type_hint"), F.lit("")).contains("__builtin")).withColumn("_open", (file == "<unknownFullName>") | ~file.contains("py"))
+    if "dynamic_type_hint" in calls.columns:
+        calls = calls.where(~F.coalesce("dynamic_type_hint", F.lit("")).contains("__builtin"))
+    cand = calls.withColumn("_open", (file == "<unknownFullName>") | ~file.contains("py"))
     known = cand.where("not _open").select(*keys, "node", F.explode(places).alias("_file")).join(own, [*keys, "_file"], "left_semi").select(*keys, "node").distinct().withColumn("_known", F.lit(True))
     return cand.join(known, [*keys, "node"], "left").where("_open or _known").drop("_open", "_known")
 

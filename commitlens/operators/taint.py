@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.diffs import shifted
 from ..functions.text import alike, companions, indel_ratio
-from .graphs import compose, reach, reversed_edges, settle
+from . import lookups
+from .graphs import K, compose, reach, reversed_edges, settle
 
-K = ["repo", "commit"]
+#: The constructor that calls what its `target` argument names.
+THREAD = "threading.py:<module>.Thread.__init__"
+ASSIGNMENT = "<operator>.assignment"
 #: Rounds of growth, at most.
 ROUNDS = 10
 
@@ -58,64 +61,131 @@ def sensitive_calls(nodes: DataFrame, api: DataFrame, edges: DataFrame | None =
     return calls.join(api.select(F.col("full_name").alias("_callee_name")), "_callee_name", "left_semi").select(*keys, "node").distinct()
 
 
-def is_project_call(calls: DataFrame, files: DataFrame, keys: list[str] = K) -> DataFrame:
-    """calls with is_project: not a builtin, and of unknown or non-Python path, or of a file or top folder of the repo."""
-    path = F.substring_index("method_full_name", ":", 1)
-    calls = calls.withColumn("_path", path).withColumn("_top", F.substring_index(path, "/", 1))
-    tops = files.select(*keys, F.substring_index("path", "/", 1).alias("_top")).distinct().withColumn("_has", F.lit(True))
-    out = calls.join(tops, [*keys, "_top"], "left")
-    free = F.col("_path").contains("<unknown") | ~F.col("_path").contains("py")
-    return out.withColumn("is_project", ~F.coalesce("method_full_name", F.lit("")).startswith("__builtin") & (free | F.coalesce("_has", F.lit(False)))).drop("_path", "_top", "_has")
-
-
-def resolved_calls(calls: DataFrame, methods: DataFrame, keys: list[str] = K) -> DataFrame:
-    """keys, call, method: call sites (node, method_full_name, file_path) matched to METHOD nodes: by full name and file; else by an equal last part of the name where the callee's path holds the method's."""
+def resolved_calls(calls: DataFrame, methods: DataFrame, keys: list[str] = K, loose: bool = True) -> DataFrame:
+    """keys, call, method: call sites (node, method_full_name) matched to METHOD nodes: by full name and file; with loose else by an equal last part of the name where the method's file holds the callee's path."""
     m = methods.where("label = 'METHOD'").select(*keys, F.col("node").alias("method"), F.col("full_name").alias("_name"), F.col("file_path").alias("_file"), F.substring_index("full_name", ".", -1).alias("_last"))
     c = calls.select(*keys, F.col("node").alias("call"), F.regexp_replace("method_full_name", r"<returnValue>\.", "").alias("_full"))
     c = c.withColumns({"_file": F.substring_index("_full", ":", 1), "_last": F.substring_index("_full", ".", -1)})
-    exact = c.join(m.drop("_last"), [*keys, "_file"]).where(F.col("_name") == F.col("_full")).select(*keys, "call", "method")
-    left = c.join(exact.select(*keys, "call").distinct(), [*keys, "call"], "left_anti").withColumnRenamed("_file", "_path")
-    loose = left.join(m, [*keys, "_last"]).where(F.contains(F.col("_path"), F.regexp_replace("_file", r"\.py$", ""))).select(*keys, "call", "method")
-    return exact.unionByName(loose).distinct()
+    exact = c.join(m.drop("_last"), [*keys, "_file"]).where(F.col("_name") == F.col("_full")).select(*keys, "call", "method").distinct()
+    if not loose:
+        return exact
+    left = c.where(F.col("_file").contains(".py")).join(exact.select(*keys, "call").distinct(), [*keys, "call"], "left_anti").withColumnRenamed("_file", "_path")
+    near = left.join(m, [*keys, "_last"]).where(F.contains(F.col("_file"), F.replace("_path", F.lit(".py"), F.lit("")))).select(*keys, "call", "method")
+    return exact.unionByName(near).distinct()
+
+
+def arguments(nodes: DataFrame, edges: DataFrame, keys: list[str] = K) -> DataFrame:
+    """keys, call, arg, pos (its place among the call's arguments, from 1) and what is known of the argument."""
+    known = [c for c in ("label", "name", "argument_name", "method_full_name", "dynamic_type_hint", "type_full_name", "code") if c in nodes.columns]
+    index = F.coalesce("argument_index", F.lit(0)) if "argument_index" in nodes.columns else F.lit(0)
+    own = nodes.select(*keys, F.col("node").alias("arg"), index.alias("_i"), *known)
+    both = edges.where("label = 'ARGUMENT'").select(*keys, F.col("src").alias("call"), F.col("dst").alias("arg")).distinct().join(own, [*keys, "arg"])
+    return both.withColumn("pos", F.row_number().over(Window.partitionBy(*keys, "call").orderBy("_i", "arg"))).drop("_i")
+
+
+def _own(calls: DataFrame, files: DataFrame | None, keys: list[str]) -> DataFrame:
+    return calls if files is None else lookups.project_calls(calls, files, keys)
 
 
-def grown(found: DataFrame, taint_edges: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[str] = K, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """A taint graph extended over calls until its nodes stay the same: callers of its methods first, then callees of its calls, then containment edges repaired."""
-    calls = settle(resolved_calls(nodes.where("label = 'CALL'"), nodes, keys))
+def _named(code_columns: list[str], name: str) -> F.Column:
+    """What a call calls: its name, or for a named argument the last part of its code."""
+    return F.when(F.coalesce("argument_name", F.lit("")) != "", F.substring_index("code", ".", -1)).otherwise(F.col(name)) if "argument_name" in code_columns else F.col(name)
 
-    def fixpoint(found, taint_edges, step):
+
+def call_sites(nodes: DataFrame, args: DataFrame, files: DataFrame | None = None, keys: list[str] = K) -> DataFrame:
+    """keys, site, call, method: the places that a taint graph grows to from a method that is called there.
+
+    An assignment is the site of later arguments that resolve to the method (loosely too); other calls of module or
+    returned names resolve by full name and file; a thread's constructor by its target's code and the file of its type.
+    """
+    calls = nodes.where("label = 'CALL'")
+    assigned = args.where("pos > 1").join(calls.where(F.col("method_full_name") == ASSIGNMENT).select(*keys, F.col("node").alias("call")), [*keys, "call"], "left_semi").withColumnsRenamed({"call": "site", "arg": "node"})
+    by_value = resolved_calls(_own(assigned.drop("site", "pos").distinct(), files, keys), nodes, keys).join(assigned.select(*keys, "site", F.col("node").alias("call")), [*keys, "call"])
+    named = calls.where(~F.col("method_full_name").isin(ASSIGNMENT, THREAD) & F.rlike("method_full_name", F.lit(r"<(module|returnValue)>\.")))
+    out = by_value.unionByName(resolved_calls(_own(named, files, keys), nodes, keys, loose=False).withColumn("site", F.col("call")))
+    if {"argument_name", "type_full_name"} <= set(args.columns):
+        threads = calls.where(F.col("method_full_name") == THREAD).select(*keys, F.col("node").alias("call"))
+        target = args.where("argument_name = 'target'").join(threads, [*keys, "call"], "left_semi").groupBy(*keys, "call").agg(F.min(F.struct("pos", "code", "type_full_name")).alias("t"))
+        target = target.select(*keys, "call", F.replace("t.code", F.lit("<returnValue>."), F.lit("")).alias("full_name"), F.substring_index("t.type_full_name", ":", 1).alias("file_path"))
+        started = target.join(nodes.where("label = 'METHOD'").select(*keys, "full_name", "file_path", F.col("node").alias("method")), [*keys, "full_name", "file_path"])
+        out = out.unionByName(started.select(*keys, "call", "method", F.col("call").alias("site")))
+    return out.select(*keys, "site", "call", "method").distinct()
+
+
+def call_targets(nodes: DataFrame, edges: DataFrame, args: DataFrame, files: DataFrame | None = None, keys: list[str] = K) -> DataFrame:
+    """keys, call, dst, is_entry: where a taint graph goes on from a project call: the parameters of the function it calls and, beside a self, its METHOD; without parameters the METHOD. From entries the trace goes on.
+
+    The function is looked for in the call's file, then in the callee's; an assignment of a method's reference calls it.
+    """
+    functions = nodes.where("label = 'METHOD'").select(*keys, F.col("file_path").alias("file"), F.col("full_name").alias("name"), F.col("node").alias("graph"), "ord")
+    calls = _own(nodes.where("label = 'CALL'"), files, keys)
+    calls = calls.select(*keys, F.col("node").alias("call"), F.col("file_path").alias("here"), _named(nodes.columns, "method_full_name").alias("function"), F.col("method_full_name").alias("_full"))
+    refs = args.where("pos = 2 and label = 'METHOD_REF'").select(*keys, "call", F.col("method_full_name").alias("_ref"))
+    ref = (F.col("function") == ASSIGNMENT) & F.col("_ref").isNotNull()
+    calls = calls.join(refs, [*keys, "call"], "left").withColumns({"function": F.when(ref, F.col("_ref")).otherwise(F.col("function")), "there": F.substring_index(F.when(ref, F.col("_ref")).otherwise(F.col("_full")), ":", 1)}).drop("_ref", "_full")
+    first = lookups.files_of_functions(functions, keys).select(*keys, F.col("name").alias("function"), F.col("file").alias("_any"))
+    calls = calls.join(first, [*keys, "function"], "left").withColumn("there", F.when(F.endswith("there", F.lit(".py")), F.col("there")).otherwise(F.col("_any"))).drop("_any")
+    at = lambda side: lookups.function_graphs(calls.select(*keys, "call", "function", F.col(side).alias("file")), functions, keys).select(*keys, "call", F.col("graph").alias(side))
+    hit = at("here").join(at("there"), [*keys, "call"]).select(*keys, "call", F.coalesce("here", "there").alias("method")).where("method is not null")
+    inner = edges.where("label in ('AST', 'CONTAINS')").select(*keys, F.col("src").alias("method"), F.col("dst").alias("node")).distinct()
+    params = inner.join(nodes.where("label = 'METHOD_PARAMETER_IN'").select(*keys, "node", "name"), [*keys, "node"])
+    both = hit.join(params, [*keys, "method"], "left")
+    entry = both.select(*keys, "call", F.coalesce("node", "method").alias("dst"), F.lit(True).alias("is_entry"))
+    return entry.unionByName(both.where("name = 'self'").select(*keys, "call", F.col("method").alias("dst"), F.lit(False).alias("is_entry"))).distinct()
+
+
+def bare_arguments(nodes: DataFrame, args: DataFrame, files: DataFrame | None = None, keys: list[str] = K) -> DataFrame:
+    """keys, call, arg: arguments that are calls, of a project function by name, without arguments of their own or of a call that is not the project's."""
+    names = nodes.where("label = 'METHOD'").select(*keys, F.col("full_name").alias("_function")).distinct()
+    inner = args.where("label = 'CALL'").withColumn("_function", _named(args.columns, "name")).join(names, [*keys, "_function"], "left_semi").select(*keys, "call", "arg")
+    calls = nodes.where("label = 'CALL'")
+    bare = inner.join(args.select(*keys, F.col("call").alias("arg")).distinct(), [*keys, "arg"], "left_anti")
+    if files is not None:
+        bare = bare.unionByName(inner.join(_own(calls, files, keys).select(*keys, F.col("node").alias("call")), [*keys, "call"], "left_anti"))
+    return bare.join(calls.select(*keys, F.col("node").alias("call")), [*keys, "call"], "left_semi").select(*keys, "call", "arg").distinct()
+
+
+def grown(found: DataFrame, taint_edges: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[str] = K, rounds: int = ROUNDS, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A taint graph extended over calls until its nodes stay the same: callers of its methods first, then bare arguments spliced in and callees of its calls, then containment edges repaired.
+
+    files: the projects' own files (keys, path); without them every call counts as the project's.
+    """
+    args = settle(arguments(nodes, edges, keys))
+    sites = settle(call_sites(nodes, args, files, keys))
+    targets = settle(call_targets(nodes, edges, args, files, keys))
+    bare = settle(bare_arguments(nodes, args, files, keys))
+    link = lambda df, src, dst, label: df.select(*keys, F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(label).alias("label"))
+
+    def callers(found, taint_edges):
+        hit = sites.join(found.withColumnRenamed("node", "method"), [*keys, "method"], "left_semi")
+        links = link(hit.where("site <> call"), "site", "call", "FUNCTION_CALL").unionByName(link(hit, "call", "method", "FUNCTION_CALL"))
+        return taint_edges, links, hit.select(*keys, F.col("site").alias("node"))
+
+    def callees(found, taint_edges):
+        spliced_in = bare.join(found.withColumnRenamed("node", "call"), [*keys, "call"], "left_semi").select(*keys, F.col("arg").alias("node")).distinct()
+        hit = targets.join(found.unionByName(spliced_in).distinct().withColumnRenamed("node", "call"), [*keys, "call"], "left_semi")
+        links = link(hit, "call", "dst", "SUB_FUNCTION_CALL").unionByName(link(bare.join(found.withColumnRenamed("node", "call"), [*keys, "call"], "left_semi"), "arg", "call", "ARGUMENT"))
+        return spliced(taint_edges, bare, keys), links, hit.where("is_entry").select(*keys, F.col("dst").alias("node"))
+
+    for step in (callers, callees):
         for _ in range(rounds):
-            seeds, links = step(found)
+            kept, links, seeds = step(found, taint_edges)
             more, used = trace(seeds, edges, nodes, keys)
-            new = settle(more.join(found, [*keys, "node"], "left_anti"))
-            taint_edges = settle(taint_edges.unionByName(links).unionByName(used).distinct())
+            ends = links.select(*keys, F.explode(F.array("src", "dst")).alias("node"))
+            new = settle(more.unionByName(ends).distinct().join(found, [*keys, "node"], "left_anti"))
+            taint_edges = settle(kept.unionByName(links).unionByName(used).distinct())
             if new.isEmpty():
                 break
             found = settle(found.unionByName(new))
-        return found, taint_edges
-
-    def callers(found):
-        hit = calls.join(found.withColumnRenamed("node", "method"), [*keys, "method"], "left_semi")
-        return hit.select(*keys, F.col("call").alias("node")), hit.select(*keys, F.col("call").alias("src"), F.col("method").alias("dst"), F.lit("FUNCTION_CALL").alias("label"))
-
-    def callees(found):
-        hit = calls.join(found.withColumnRenamed("node", "call"), [*keys, "call"], "left_semi")
-        return hit.select(*keys, F.col("method").alias("node")), hit.select(*keys, F.col("call").alias("src"), F.col("method").alias("dst"), F.lit("SUB_FUNCTION_CALL").alias("label"))
+    return found, repaired(spliced(taint_edges, bare, keys), found, nodes, edges, keys)
 
-    found, taint_edges = fixpoint(found, taint_edges, callers)
-    found, taint_edges = fixpoint(found, taint_edges, callees)
-    return found, repaired(spliced(taint_edges, nodes, edges, keys), found, nodes, edges, keys)
 
-
-def spliced(taint_edges: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[str] = K) -> DataFrame:
-    """Edges into a call rerouted through those of its arguments that are calls without arguments: u to call becomes u to argument to call, labelled ARGUMENT."""
-    arg = edges.where("label = 'ARGUMENT'").select(*keys, F.col("src").alias("call"), F.col("dst").alias("arg"))
-    inner = arg.join(nodes.where("label = 'CALL'").select(*keys, F.col("node").alias("arg")), [*keys, "arg"], "left_semi")
-    bare = inner.join(arg.select(*keys, F.col("call").alias("arg")).distinct(), [*keys, "arg"], "left_anti")
-    into = taint_edges.where("label not in ('FUNCTION_CALL', 'SUB_FUNCTION_CALL', 'CONTAINS', 'ARGUMENT')").withColumnRenamed("dst", "call").join(bare, [*keys, "call"])
+def spliced(taint_edges: DataFrame, bare: DataFrame, keys: list[str] = K) -> DataFrame:
+    """Edges into a call rerouted through its bare arguments: u to call becomes u to argument to call, labelled ARGUMENT. Edges of that label stay."""
+    into = taint_edges.where("label <> 'ARGUMENT'").withColumnRenamed("dst", "call").join(bare, [*keys, "call"]).where("src <> arg")
     gone = into.select(*keys, "src", F.col("call").alias("dst"), "label").distinct()
-    new = into.select(*keys, "src", F.col("arg").alias("dst"), F.lit("ARGUMENT").alias("label")).unionByName(into.select(*keys, F.col("arg").alias("src"), F.col("call").alias("dst"), F.lit("ARGUMENT").alias("label"))).where("src <> dst")
-    return taint_edges.join(gone, [*keys, "src", "dst", "label"], "left_anti").unionByName(new.distinct())
+    put = lambda src, dst: into.select(*keys, F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit("ARGUMENT").alias("label"))
+    return taint_edges.join(gone, [*keys, "src", "dst", "label"], "left_anti").unionByName(put("src", "arg")).unionByName(put("arg", "call")).distinct()
 
 
 def repaired(taint_edges: DataFrame, found: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[str] = K) -> DataFrame:
@@ -126,11 +196,11 @@ def repaired(taint_edges: DataFrame, found: DataFrame, nodes: DataFrame, edges:
     return taint_edges.unionByName(own.join(taint_edges, [*keys, "src", "dst"], "left_anti"))
 
 
-def built(nodes: DataFrame, edges: DataFrame, api: DataFrame, keys: list[str] = K) -> tuple[DataFrame, DataFrame]:
+def built(nodes: DataFrame, edges: DataFrame, api: DataFrame, keys: list[str] = K, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The taint graph of each (repo, commit): the sensitive calls' closures, grown. Nodes carry is_sensitive."""
     seeds = settle(sensitive_calls(nodes, api, edges if "argument_index" in nodes.columns else None, keys))
     found, used = trace(seeds, edges, nodes, keys)
-    found, used = grown(found, used, nodes, edges, keys)
+    found, used = grown(found, used, nodes, edges, keys, files=files)
     return found.join(seeds.withColumn("_s", F.lit(True)), [*keys, "node"], "left").select(*keys, "node", F.coalesce("_s", F.lit(False)).alias("is_sensitive")), used
 
 
@@ -206,7 +276,7 @@ def carried(taint_nodes: DataFrame, taint_edges: DataFrame, mapping: DataFrame,
     return nodes, e.distinct()
 
 
-def updated(found: DataFrame, taint_edges: DataFrame, nodes: DataFrame, edges: DataFrame, added: DataFrame, api: DataFrame, keys: list[str] = K) -> tuple[DataFrame, DataFrame]:
+def updated(found: DataFrame, taint_edges: DataFrame, nodes: DataFrame, edges: DataFrame, added: DataFrame, api: DataFrame, keys: list[str] = K, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A carried taint graph (found: keys, node) with what added lines (keys, file, line) bring: nodes on them that depend on tainted ones or are sensitive calls, traced and grown."""
     lines = added.withColumnRenamed("file", "file_path").distinct()
     on = nodes.where("label <> 'METHOD_RETURN'").join(lines, [*keys, "file_path", "line"], "left_semi")
@@ -215,7 +285,7 @@ def updated(found: DataFrame, taint_edges: DataFrame, nodes: DataFrame, edges: D
     near = on.join(both.join(found.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi").select(*keys, F.col("dst").alias("node")).distinct(), [*keys, "node"], "left_semi").select(*keys, "node")
     seeds = near.unionByName(sensitive_calls(on, api, None, keys)).distinct()
     more, used = trace(seeds, edges, nodes, keys)
-    return grown(settle(found.unionByName(more).distinct()), settle(taint_edges.unionByName(used).distinct()), nodes, edges, keys)
+    return grown(settle(found.unionByName(more).distinct()), settle(taint_edges.unionByName(used).distinct()), nodes, edges, keys, files=files)
 
 
 def outer_roots(nodes: DataFrame, entry_files: DataFrame, keys: list[str] = K) -> DataFrame:
@@ -296,3 +366,33 @@ def changed(slices: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
     b = before.where("signature <> ''").select(*keys, F.sha2("signature", 256).alias("_h")).distinct().withColumn("_same", F.lit(True))
     out = slices.withColumn("_h", F.sha2("signature", 256)).join(b, [*keys, "_h"], "left")
     return out.withColumn("is_new", F.col("_same").isNull()).drop("_h", "_same")
+
+
+def followed(commits: DataFrame, nodes: DataFrame, edges: DataFrame, hunks: DataFrame, added: DataFrame, api: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The taint graphs of all commits (repo, commit, node, is_sensitive; repo, commit, src, dst, label), all repos together, a commit's number after the other.
+
+    commits: repo, commit, ord, base (the commit to start from; null builds anew). hunks and added lines have repo,
+    commit and file, from base to commit. A base must have a smaller number.
+    """
+    of = lambda df, own: df.join(own.select(*K), K, "left_semi")
+    all_nodes = all_edges = None
+    for (n,) in sorted(commits.select("ord").distinct().collect()):
+        now = settle(commits.where(F.col("ord") == n))
+        fresh = now.where("base is null")
+        found, used = built(of(nodes, fresh), of(edges, fresh), api, files=files)
+        if all_nodes is not None:
+            later = now.where("base is not null")
+            base = later.select("repo", F.col("base").alias("commit"), F.col("commit").alias("_now"))
+            at = lambda df: df.join(base, K).drop("commit").withColumnRenamed("_now", "commit")  # noqa: E731, B023
+            own, own_edges = of(nodes, later), of(edges, later)
+            before = at(nodes.join(all_nodes, [*K, "node"], "left_semi"))
+            mapping = settle(corresponding(before, own, of(hunks, later)))
+            kept, kept_edges = carried(at(all_nodes).drop("commit"), at(all_edges).drop("commit"), mapping, own.select("repo", "node"))
+            kept = settle(kept.groupBy("repo", "node").agg(F.bool_or("is_sensitive").alias("is_sensitive")).join(later.select(*K), "repo"))
+            grown_nodes, grown_edges = updated(kept.select(*K, "node"), kept_edges.join(later.select(*K), "repo").select(*K, "src", "dst", "label"), own, own_edges, of(added, later), api, files=files)
+            hot = kept.where("is_sensitive").select(*K, "node").unionByName(sensitive_calls(own, api, own_edges if "argument_index" in nodes.columns else None)).distinct().withColumn("_s", F.lit(True))
+            found = found.unionByName(grown_nodes.join(hot, [*K, "node"], "left").select(*K, "node", F.coalesce("_s", F.lit(False)).alias("is_sensitive")))
+            used = used.unionByName(grown_edges.select(*K, "src", "dst", "label"))
+        all_nodes = settle(found if all_nodes is None else all_nodes.unionByName(found))
+        all_edges = settle(used if all_edges is None else all_edges.unionByName(used.select(*all_edges.columns)))
+    return all_nodes, all_edges

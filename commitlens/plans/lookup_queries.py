@@ -82,7 +82,7 @@ own AS (SELECT path FROM f UNION SELECT split_part(path, '/', 1) FROM f)
 SELECT node FROM c WHERE NOT contains(coalesce(hint, ''), '__builtin') AND (file = '<unknownFullName>' OR NOT contains(file, 'py') OR file IN (SELECT path FROM own) OR (contains(file, '/') AND split_part(file, '/', 1) IN (SELECT path FROM own)))""")
 def project_calls(spark, sf_dir):
     files = spark.createDataFrame([(0, p) for p in ("red.py", "cold.py", "ring/z.py", "widget/b.py")], "g int, path string")
-    return lookups.project_calls(_parts(spark, sf_dir, "p_partkey AS node", f"{_CALLEE} AS method_full_name", f"{_HINT} AS type_hint"), files, G).select("node")
+    return lookups.project_calls(_parts(spark, sf_dir, "p_partkey AS node", f"{_CALLEE} AS method_full_name", f"{_HINT} AS dynamic_type_hint"), files, G).select("node")
 
 
 @query("same_position", "SELECT a.p_partkey AS node, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey % 97 = b.p_partkey % 97")

@@ -1,6 +1,7 @@
 """Git histories as Python data sources: format commitlens_git with option `what`.
 
-Options: repos (paths joined by line ends), what (log, refs, diff, files), first_parent, revision, base, commit. One
+Options: repos (paths joined by line ends), what (log, refs, diff, files), first_parent, merges (whether merges and first
+commits tell their files, as they do unless it is false), revision, base, commit. One
 partition reads one repository; no work tree is touched, as all reads name a hash.
 """
 
@@ -51,7 +52,8 @@ class _Reader(DataSourceReader):
             order, parent = {h[0]: i for i, h in enumerate(log)}, {h[0]: (h[1] if len(h) > 1 and h[1] else None) for h in log}
             # one process for all commits; a merge is told against each parent, and its headers are folded into one commit
             now, seen = None, set()
-            for line in git(repo, "diff-tree", "--stdin", "--root", "-m", "-r", "--name-only", "--no-renames", text="\n".join(order) + "\n").splitlines():
+            expand = ["--root", "-m"] if self.o.get("merges", "true").lower() == "true" else []
+            for line in git(repo, "diff-tree", "--stdin", *expand, "-r", "--name-only", "--no-renames", text="\n".join(order) + "\n").splitlines():
                 if line.split(" ")[0] in order:
                     now = line.split(" ")[0]
                 elif now and (now, line) not in seen:
@@ -89,11 +91,15 @@ def _load(spark: SparkSession, repos: list[str], what: str, **options) -> DataFr
     return r.load()
 
 
-def commits(spark: SparkSession, repos: list[str], first_parent: bool = True, revision: str = "HEAD", most: int | None = None) -> DataFrame:
-    """repo, ord, hash, parent_hash, is_useful (touches a Python file), base_hash: the useful commit before. Histories with more than `most` useful commits are left out."""
+def commits(spark: SparkSession, repos: list[str], first_parent: bool = True, revision: str = "HEAD", most: int | None = None, merges: bool = True) -> DataFrame:
+    """repo, ord, hash, parent_hash, is_useful (touches a Python file), base_hash: the useful commit before. Histories with more than `most` useful commits are left out.
+
+    With neither first_parent nor merges the log is read in its older form: all commits of the revision, where merges and
+    the first commit touch no file.
+    """
     from pyspark.sql import Window
 
-    log = _load(spark, repos, "log", first_parent=str(first_parent).lower(), revision=revision)
+    log = _load(spark, repos, "log", first_parent=str(first_parent).lower(), merges=str(merges).lower(), revision=revision)
     rows = log.groupBy("repo", "ord", "hash", "parent_hash").agg(F.coalesce(F.bool_or(F.lower("path").endswith(".py")), F.lit(False)).alias("is_useful"))
     w = Window.partitionBy("repo").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("base_hash", F.last(F.when(F.col("is_useful"), F.col("hash")), ignorenulls=True).over(w))

@@ -8,7 +8,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from commitlens.functions import diffs, text
+from commitlens.functions import diffs, settings, text
 from commitlens.operators import callgraph, classify, graphs, rollups, spans, taint
 from commitlens.sources import dot, git, sinks, tables
 from commitlens.streaming import carry
@@ -93,6 +93,67 @@ def test_taint(spark):
     assert {(r.old, r.new) for r in taint.likely(nodes, later, edges, edges).collect()} >= {("a", "a")}
 
 
+def code_graph(spark, rows, links, commit="c0"):
+    fields = "node label name full_name method_full_name argument_index code file_path argument_name type_full_name".split()
+    blank = dict.fromkeys(fields, "") | {"argument_index": 0, "file_path": "a.py"}
+    rows = [blank | {"node": n, "label": k, "code": f"{n}()"} | more for n, k, more in rows]
+    nodes = spark.createDataFrame([("r", commit, *[x[f] for f in fields], 1 + i, i) for i, x in enumerate(rows)], "repo string, commit string, " + ", ".join(f"{f} {'int' if f == 'argument_index' else 'string'}" for f in fields) + ", line int, ord int")
+    return nodes, spark.createDataFrame([("r", commit, *e) for e in links], "repo string, commit string, src string, dst string, label string")
+
+
+def test_taint_grows_over_calls(spark):
+    rows = [
+        ("m", "METHOD", {"full_name": "a.py:<module>.f", "name": "f"}), ("hot", "CALL", {"method_full_name": "os.py:<module>.system"}),
+        ("asg", "CALL", {"method_full_name": "<operator>.assignment", "name": "<operator>.assignment"}), ("lhs", "IDENTIFIER", {"argument_index": 1}), ("val", "CALL", {"method_full_name": "a.py:<module>.f", "argument_index": 2, "file_path": "b.py"}),
+        ("direct", "CALL", {"method_full_name": "a.py:<module>.f", "file_path": "b.py"}), ("other", "CALL", {"method_full_name": "x.py:<module>.f"}),
+        ("thr", "CALL", {"method_full_name": "threading.py:<module>.Thread.__init__"}), ("tgt", "IDENTIFIER", {"argument_name": "target", "code": "a.py:<module>.f", "type_full_name": "a.py:<module>.T", "argument_index": 1}),
+        ("use", "CALL", {"method_full_name": "g.py:<module>.C.g"}), ("g", "METHOD", {"full_name": "g.py:<module>.C.g", "name": "g", "file_path": "g.py"}), ("self", "METHOD_PARAMETER_IN", {"name": "self", "file_path": "g.py"}), ("p", "METHOD_PARAMETER_IN", {"name": "p", "file_path": "g.py"}), ("in_g", "CALL", {"file_path": "g.py"}),
+        ("bare", "CALL", {"name": "h", "argument_index": 1}), ("h", "METHOD", {"full_name": "h", "name": "h", "file_path": "h.py"}), ("kept", "CALL", {"name": "unknown", "argument_index": 2}), ("sub", "CALL", {}),
+    ]
+    links = [("m", "hot", "DDG: "), ("asg", "lhs", "ARGUMENT"), ("asg", "val", "ARGUMENT"), ("thr", "tgt", "ARGUMENT"), ("hot", "use", "DDG: x"), ("g", "self", "AST"), ("g", "p", "AST"), ("p", "in_g", "DDG: p"), ("use", "bare", "ARGUMENT"), ("use", "kept", "ARGUMENT"), ("m", "hot", "CONTAINS")]
+    nodes, edges = code_graph(spark, rows, links)
+    found, used = taint.built(nodes, edges, spark.createDataFrame([("os.py:<module>.system",)], "full_name string"))
+    got = {r.node for r in found.collect()}
+    assert got == {"m", "hot", "asg", "val", "direct", "thr", "use", "self", "p", "in_g", "g", "bare"}
+    e = {(r.src, r.dst, r.label) for r in used.collect()}
+    assert {("asg", "val", "FUNCTION_CALL"), ("val", "m", "FUNCTION_CALL"), ("direct", "m", "FUNCTION_CALL"), ("thr", "m", "FUNCTION_CALL")} <= e
+    assert {("use", "self", "SUB_FUNCTION_CALL"), ("use", "p", "SUB_FUNCTION_CALL"), ("use", "g", "SUB_FUNCTION_CALL")} <= e
+    # the edge into the call now leads through its argument without arguments, which names a function
+    assert {("hot", "bare", "ARGUMENT"), ("bare", "use", "ARGUMENT")} <= e and ("hot", "use", "DDG: x") not in e
+    assert ("other", "m", "FUNCTION_CALL") not in e
+    # of a call to no file of the project nothing is followed
+    files = spark.createDataFrame([("r", "c0", p) for p in ("a.py", "b.py")], "repo string, commit string, path string")
+    some = {r.node for r in taint.built(nodes, edges, spark.createDataFrame([("os.py:<module>.system",)], "full_name string"), files=files)[0].collect()}
+    assert "val" in some and not {"p", "self", "in_g"} & some
+
+
+def test_taint_followed_over_commits(spark):
+    rows = [("a", "CALL", {"method_full_name": "api.x"}), ("b", "CALL", {}), ("c", "CALL", {}), ("d", "CALL", {})]
+    nodes, edges = code_graph(spark, rows[:2], [("a", "b", "DDG: v")])
+    more_nodes, more_edges = code_graph(spark, rows, [("a", "b", "DDG: v"), ("b", "c", "DDG: v")], "c1")
+    commits = spark.createDataFrame([("r", "c0", 0, None), ("r", "c1", 1, "c0")], "repo string, commit string, ord int, base string")
+    hunks = spark.createDataFrame([("r", "c1", "a.py", 2, 0, 2)], "repo string, commit string, file string, old_start int, old_count int, new_count int")
+    added = spark.createDataFrame([("r", "c1", "a.py", 3), ("r", "c1", "a.py", 4)], "repo string, commit string, file string, line int")
+    n, e = taint.followed(commits, nodes.unionByName(more_nodes), edges.unionByName(more_edges), hunks, added, spark.createDataFrame([("api.x",)], "full_name string"))
+    assert sorted((r.commit, r.node, r.is_sensitive) for r in n.collect()) == [("c0", "a", True), ("c0", "b", False), ("c1", "a", True), ("c1", "b", False), ("c1", "c", False)]
+    assert {(r.commit, r.src, r.dst) for r in e.collect()} == {("c0", "a", "b"), ("c1", "a", "b"), ("c1", "b", "c")}
+
+
+def test_settings_and_rewrite(spark, tmp_path):
+    assert settings.positive_int("3") == 3
+    for bad in ("0", "x", None, -2):
+        with pytest.raises(ValueError):
+            settings.positive_int(bad)
+    for value, want in (("2.5", 2.5), ("0", 20.0), ("x", 20.0), ("nan", 20.0)):
+        spark.conf.set("commitlens.test.rate", value)
+        assert settings.positive_setting(spark, "commitlens.test.rate", 20.0) == want
+    assert settings.positive_setting(spark, "commitlens.test.unset", 7.0) == 7.0
+    at = str(tmp_path / "t")
+    sinks.rewrite(spark.createDataFrame([(1, "x")], "a int, b string"), at, ["a", "b"])
+    sinks.rewrite(spark.read.parquet(at).withColumn("a", F.lit("2")), at, ["a", "b", "c"], backup=True)
+    assert [tuple(r) for r in spark.read.parquet(at).collect()] == [("2", "x", "")] and [tuple(r) for r in spark.read.parquet(at + ".bak").collect()] == [("1", "x")]
+
+
 def test_sensitive_subgraph_adds_callers_but_does_not_follow_them(spark):
     kinds = {"m": "METHOD", "a": "CALL", "c": "CALL", "d": "CALL", "x": "CALL", "p": "METHOD", "q": "CALL", "o": "METHOD", "z": "CALL"}
     files = {"o": "o.py", "z": "o.py"}
@@ -133,6 +194,8 @@ def test_git(spark, tmp_path):
         (tmp_path / "r" / name).write_text(body)
         run("add", "-A")
         run("commit", "-qm", str(i))
+    older = git.commits(spark, [repo], first_parent=False, merges=False).orderBy("ord").collect()
+    assert [r.is_useful for r in older] == [False, False, True]  # the first commit tells no file
     c = git.commits(spark, [repo]).orderBy("ord").collect()
     assert [r.is_useful for r in c] == [True, False, True] and c[2].base_hash == c[0].hash and c[0].parent_hash is None
     assert git.branches(spark, [repo]).first().branch == "main"
