@@ -5,27 +5,61 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-#: Lines to a bucket of the interval join.
-BUCKET = 64
+#: Levels of halves in a bucket, and lines to a bucket.
+LEVELS = 6
+BUCKET = 1 << LEVELS
 
 _BLOCKS = (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.AsyncFor, ast.AsyncWith, ast.Match)
 _SIMPLE = (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.Expr, ast.Return, ast.Raise, ast.Delete, ast.Assert)
 
 
+def _ranges(first, last) -> Column:
+    """The aligned ranges that make up the lines first to last of a bucket, two a level at most, some null: numbered as in a heap, 1 for the whole bucket, BUCKET + i for line i."""
+    out = []
+    for j in range(LEVELS + 1):
+        lo, hi = F.shiftright(first + (BUCKET + (1 << j) - 1), j), F.shiftright(last + (BUCKET + 1), j)
+        out += [F.when((lo < hi) & (lo % 2 == 1), lo), F.when((lo < hi) & (hi % 2 == 1), hi - 1)]
+    return F.array(*out)
+
+
 def innermost(lines: DataFrame, spans: DataFrame, keys: list[str], kinds: list[str] | None = None) -> DataFrame:
-    """lines (keys, line) with the smallest span (start_line, end_line and the spans' other columns) that holds them; of equal ones the one that starts last. Lines without a span go."""
+    """lines (keys, line) with the smallest span (start_line, end_line and the spans' other columns) that holds them; of equal ones the one that starts last. Lines without a span go.
+
+    No line meets all spans around it: a span is dealt to the aligned ranges of its buckets, each range keeps its best
+    span, and a line looks at the LEVELS + 1 ranges that hold it. Line numbers have 32 bits.
+    """
     own = spans if kinds is None else spans.where(F.col("kind").isin(kinds))
-    # an equi join on buckets: a span stands in each bucket it crosses
-    own = own.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_line") / BUCKET), F.floor(F.col("end_line") / BUCKET))))
-    own = own.select(*keys, "_b", F.struct((F.col("end_line") - F.col("start_line")).alias("n"), (-F.col("start_line")).alias("s"), *[c for c in spans.columns if c not in keys]).alias("_s"))
-    at = lines.withColumn("_b", F.floor(F.col("line") / BUCKET))
-    hit = at.join(own, [*keys, "_b"]).where(F.col("line").between(F.col("_s.start_line"), F.col("_s.end_line")))
-    best = hit.groupBy(*[c for c in lines.columns]).agg(F.min("_s").alias("_s"))
-    return best.select(*lines.columns, *[F.col(f"_s.{c}").alias(c) for c in spans.columns if c not in keys])
+    own = own.where("start_line <= end_line")
+    first, last = F.col("start_line").cast("int"), F.col("end_line").cast("int")
+    # the best span of a range as one number, so that it is summed up without sorting: its size, then how early it starts
+    rank = F.shiftleft(last.cast("long") - first, 32) + (F.lit(2**31 - 1).cast("long") - first)
+    dealt = own.select(*keys, first.alias("_first"), last.alias("_last"), rank.alias("_rank"))
+    dealt = dealt.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_first") / BUCKET), F.floor(F.col("_last") / BUCKET))))
+    at = F.col("_b") * BUCKET
+    cut = F.greatest(F.col("_first") - at, F.lit(0)).cast("int"), F.least(F.col("_last") - at, F.lit(BUCKET - 1)).cast("int")
+    dealt = dealt.select(*keys, "_b", "_rank", cut[0].alias("_from"), cut[1].alias("_to")).select(*keys, "_b", "_rank", F.explode(_ranges(F.col("_from"), F.col("_to"))).alias("_r"))
+    best = dealt.where("_r is not null").groupBy(*keys, "_b", "_r").agg(F.min("_rank").alias("_rank"))
+    best = best.groupBy(*keys, "_b").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_rank"))).alias("_best"))
+    i = (F.col("line") - F.col("_b") * BUCKET + BUCKET).cast("int")
+    # array_min passes over ranges without a span
+    held = F.array_min(F.array(*[F.try_element_at("_best", F.shiftright(i, j)) for j in range(LEVELS + 1)]))
+    hit = lines.distinct().withColumn("_b", F.floor(F.col("line") / BUCKET)).join(best, [*keys, "_b"]).select(*lines.columns, held.alias("_rank")).where("_rank is not null")
+    start = F.lit(2**31 - 1).cast("long") - F.col("_rank").bitwiseAND(F.lit(2**32 - 1))
+    hit = hit.select(*lines.columns, start.alias("_start"), (start + F.shiftright("_rank", 32)).alias("_end"))
+    columns = [c for c in spans.columns if c not in keys]
+    more = [c for c in columns if c not in ("start_line", "end_line")]
+    kind = dict(spans.dtypes)
+    bounds = [F.col("_start").cast(kind["start_line"]).alias("start_line"), F.col("_end").cast(kind["end_line"]).alias("end_line")]
+    hit = hit.select(*lines.columns, *bounds)
+    if more:
+        # of spans over the same lines the first by the other columns
+        named = own.groupBy(*keys, "start_line", "end_line").agg(F.min(F.struct(*more)).alias("_s"))
+        hit = hit.join(named, [*keys, "start_line", "end_line"])
+    return hit.select(*lines.columns, *[F.col(c if c in ("start_line", "end_line") else f"_s.{c}") for c in columns])
 
 
 def read_spans(content: str) -> list[dict]:

@@ -49,6 +49,40 @@ def test_versions(spark):
     assert [r.v for r in df.orderBy(text.version_key("v"), "v").collect()] == ["1.9.0", "1.9.0_benign", "1.9.0rc1", "1.10.0"]
 
 
+def joined_rows(df):
+    """The most rows that a join of df gives while df is collected, and df's rows."""
+    rows, most, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(p.plan())
+        elif "Join" in name or name == "CartesianProduct":
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most, rows
+
+
+def test_innermost_meets_few_spans(spark):
+    rng = random.Random(5)
+    own = [(rng.choice("ab"), s := rng.randrange(-70, 300), s + rng.choice([-1, 0, 1, 5, 40, 64, 200, 1000]), rng.choice("xyz")) for _ in range(900)] + [("a", None, 3, "n"), ("b", 3, None, "n")]
+    at = [(rng.choice("abc"), rng.randrange(-80, 1400), i) for i in range(400)] + [("a", None, 401), ("a", 5, 402), ("a", 5, 402)]
+    want = {}
+    for f, n, i in at:
+        held = [(e - s, -s, k, e) for g, s, e, k in own if g == f and None not in (s, e, n) and s <= n <= e]
+        if held:
+            want[f, n, i] = (-min(held)[1], min(held)[3], min(held)[2])
+    lines = spark.createDataFrame(at, "file string, line int, id int")
+    named = spark.createDataFrame(own, "file string, start_line int, end_line int, name string")
+    most, got = joined_rows(spans.innermost(lines, named, ["file"]))
+    assert len(got) == len(want) and {(r.file, r.line, r.id): (r.start_line, r.end_line, r.name) for r in got} == want
+    assert most <= len(at)
+    most, got = joined_rows(spans.innermost(lines, named.drop("name"), ["file"]))
+    assert {(r.file, r.line, r.id): (r.start_line, r.end_line) for r in got} == {k: v[:2] for k, v in want.items()} and most <= len(at)
+
+
 def test_spans_and_slices(spark):
     files = spark.createDataFrame([("r", "a.py", CODE), ("r", "bad.py", "def ("), ("r", "none.py", None)], "repo string, file string, content string")
     lines = spark.createDataFrame([("r", "a.py", 11), ("r", "a.py", 20), ("r", "zzz.py", 1), ("r", "bad.py", 1)], "repo string, file string, line int")
