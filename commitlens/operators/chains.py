@@ -37,7 +37,7 @@ def states(df: DataFrame, label_col: str, keep_full_start: bool = False) -> Data
 
 def assemble(rows: DataFrame, *keys: str) -> DataFrame:
     """keys and seq: the chain as an array of (commit_num, commit, state), in order of commits."""
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("commit_num", "commit", "state"))).alias("seq"))
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("commit_num", "commit", "state"))).alias("seq"))
 
 
 def state_path(seq: Column) -> Column:
@@ -86,10 +86,12 @@ def parsed(line) -> Column:
 def parsed_loose(line) -> Column:
     """A timeline's text as a map of commit number to comparison state: cut at any arrow, bad parts skipped, the last of a number wins."""
     c = F.col(line) if isinstance(line, str) else line
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "->"), lambda t: F.struct(F.try_element_at(F.split(F.substring_index(t, ":", 1), r"\("), F.lit(1)).alias("n"), F.when(F.instr(t, ":") > 0, F.expr("1")).alias("ok"), t.alias("t")))
-    nums = F.transform(parts, lambda p: F.struct(F.trim(p["n"]).try_cast("int").alias("n"), p["ok"].alias("ok"), L.comparison_state(F.regexp_replace(p["t"], r"^[^:]*:", "")).alias("state")))
-    good = F.filter(nums, lambda p: p["n"].isNotNull() & p["ok"].isNotNull() & p["state"].isNotNull())
-    return F.aggregate(good, F.expr("map_from_arrays(array(), array())").cast("map<int,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["n"]), F.map_from_arrays(F.array(p["n"]), F.array(p["state"]))))
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "->"), lambda t: F.struct(F.substring_index(F.substring_index(t, ":", 1), "(", 1).alias("n"), F.when(F.instr(t, ":") > 0, F.substring(t, F.instr(t, ":") + 1, F.length(t))).alias("state")))
+    nums = F.transform(parts, lambda p, i: F.struct(F.trim(p["n"]).try_cast("int").alias("n"), i.alias("i"), L.comparison_state(p["state"]).alias("state")))
+    good = F.sort_array(F.filter(nums, lambda p: p["n"].isNotNull() & p["state"].isNotNull()))
+    # in order of numbers and places, a number's last part stands before the next number; the array of one names `good`, else each part would make it anew
+    last = F.get(F.transform(F.array(good), lambda s: F.filter(s, lambda p, i: F.coalesce(F.get(s, i + 1)["n"] != p["n"], F.lit(True)))), 0)
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["n"], p["state"])))
 
 
 def path_states(path) -> Column:

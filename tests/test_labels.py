@@ -1,6 +1,7 @@
 """Label operators on small fixtures, and against plain loops on random rows."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -89,6 +90,17 @@ def test_timelines_parse(spark):
     assert got[1].p == [] and got[1].m == {}
 
 
+def test_long_timelines_parse_in_one_pass(spark):
+    n = 60000
+    parts = [f"{i * 7919 % n - 5}(a:{L.FULL if i % 3 else 'Benign Artifact'}" for i in range(n)] + ["4(x", "(y:Core", " 4 (z): maybe Core: ", "9(w):  ", "3.5(v):Full", "4(u)x: odd:one "]
+    df = spark.createDataFrame([("->".join(parts),), ("1(a):Core->1(b):Full->2(c):x:y->1(d):",)], "t string")
+    start = time.monotonic()
+    got = [r.m for r in df.select(chains.parsed_loose("t").alias("m")).collect()]
+    assert time.monotonic() - start < 20  # a copy of the map for each part takes minutes
+    want = {i * 7919 % n - 5: L.FULL if i % 3 else L.BENIGN for i in range(n)} | {4: "odd:one"}
+    assert got[0] == want and got[1] == {1: L.FULL, 2: "x:y"}
+
+
 def test_verdicts(spark):
     bodies = ['{"Classification": "Benign", "Malware Type": null, "Malware_Type": "Type C"}', '{"Detected Category": "Malicious"}', '{"error": "e"}', "[1]", None, '[{"x": 1}, {"Malware Type": "Type D"}]']
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string").orderBy("i")
