@@ -86,6 +86,20 @@ def module_candidates(path) -> Column:
     return F.array_distinct(F.array(F.substring_index(stem, "/", -1), F.replace(stem, F.lit("/"), F.lit("."))))
 
 
+def one_decimal(c) -> Column:
+    """A double from 0 to 2^31 with one decimal, as printf rounds it: by its exact binary value, ties to the even digit. format_string rounds its shortest decimal text, ties up."""
+    x = _c(c)
+    # 20x as a sum of two doubles, of which the second tells on which side of a tie the first has been rounded
+    big, small = 16 * x, 4 * x
+    twenty = big + small
+    back = twenty - big
+    rest = (big - (twenty - back)) + (small - back)
+    low = F.floor(twenty / 2)
+    over = twenty - 2 * low
+    tenths = F.when((over > 1) | ((over == 1) & ((rest > 0) | ((rest == 0) & (low % 2 == 1)))), low + 1).otherwise(low)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def file_token(path) -> Column:
     return F.replace(_c(path), F.lit("/"), F.lit("_"))
 

@@ -100,11 +100,12 @@ def summary(df: DataFrame, **aggs) -> DataFrame:
 def bar_labels(counts: DataFrame) -> DataFrame:
     """pattern, count, share and label of a bar chart, by falling count and then the patterns' own order."""
     from ..functions.labels import PATTERNS
+    from ..functions.text import one_decimal
 
     total = counts.agg(F.sum("count").alias("_t"))
     share = F.col("count") / F.col("_t")
     order = F.array_position(F.array(*[F.lit(p) for p in PATTERNS]), F.col("pattern"))
-    return counts.join(F.broadcast(total)).select("pattern", "count", share.alias("share"), F.format_string("%d (%.1f%%)", "count", 100 * share).alias("label"), order.alias("ord")).orderBy(F.desc("count"), "ord").drop("ord")
+    return counts.join(F.broadcast(total)).select("pattern", "count", share.alias("share"), F.format_string("%d (%s%%)", "count", one_decimal(100 * F.col("count") / F.col("_t"))).alias("label"), order.alias("ord")).orderBy(F.desc("count"), "ord").drop("ord")
 
 
 def processed_flags(repos: DataFrame, dirs: DataFrame) -> DataFrame:

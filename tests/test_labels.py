@@ -6,8 +6,10 @@ import time
 from pyspark.sql import functions as F
 
 from commitlens.functions import labels as L
+from commitlens.functions import text
 from commitlens.functions import verdicts as V
 from commitlens.operators import chains, compare, rollups
+from commitlens.sources import sinks
 
 SCHEMA = "_row_id long, repo_name string, commit_num int, commit string, code_slice string, ground_truth string, malware_type string"
 
@@ -101,6 +103,17 @@ def test_long_timelines_parse_in_one_pass(spark):
     assert got[0] == want and got[1] == {1: L.FULL, 2: "x:y"}
 
 
+def test_bar_labels_round_as_printf(spark):
+    for own in ([57, 40, 303, 0], [285, 1715], [287, 1713], [1, 1999], [7]):
+        df = spark.createDataFrame(list(zip(L.PATTERNS, own)), "pattern string, count long")
+        got = {r.count_: r.label for r in sinks.bar_labels(df).withColumnRenamed("count", "count_").collect()}
+        assert got == {n: "%d (%.1f%%)" % (n, 100.0 * n / sum(own)) for n in own}
+    rng = random.Random(3)
+    x = [i / 20 for i in range(2001)] + [i / 4 for i in range(401)] + [rng.random() * 100 for _ in range(2000)] + [100 * n / t for t in (40, 80, 400, 2000) for n in range(t)]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", text.one_decimal("x").alias("s")).collect()
+    assert not [(r.x, r.s) for r in got if r.s != "%.1f" % r.x]
+
+
 def test_verdicts(spark):
     bodies = ['{"Classification": "Benign", "Malware Type": null, "Malware_Type": "Type C"}', '{"Detected Category": "Malicious"}', '{"error": "e"}', "[1]", None, '[{"x": 1}, {"Malware Type": "Type D"}]']
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string").orderBy("i")
