@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import diffs, text
-from ..operators import callgraph, graphs, spans, taint
+from ..operators import callgraph, graphs, likeness, spans, taint
 from .inputs import table
 from .registry import query
 
@@ -41,11 +41,9 @@ def version_order(spark, sf_dir):
 
 @query("fuzzy_pairs")
 def fuzzy_pairs(spark, sf_dir):
-    """Pairs of parts of one brand and size whose texts are alike; the length test comes before the likeness."""
+    """Pairs of parts of one brand and size whose texts are alike."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", "p_name", "p_type", (F.col("p_partkey") % 50).cast("string")).alias("code"))
-    q = p.select(F.col("p_partkey").alias("other"), "p_brand", "p_size", F.col("code").alias("other_code"))
-    both = p.join(q, ["p_brand", "p_size"]).where(F.col("p_partkey") < F.col("other")).where(text.may_be_alike("code", "other_code"))
-    return both.withColumn("ratio", text.indel("code", "other_code")).where("ratio >= 90").select("p_partkey", "other", F.round("ratio", 6).alias("ratio"))
+    return likeness.row_pairs(p, ["p_brand", "p_size"], "p_partkey", "code").withColumn("ratio", F.round("ratio", 6))
 
 
 # --- commits in order

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitlens.functions import diffs, settings, text
-from commitlens.operators import callgraph, classify, graphs, rollups, spans, taint
+from commitlens.operators import callgraph, classify, graphs, likeness, rollups, spans, taint
+from commitlens.plans import graph_queries
 from commitlens.sources import dot, git, sinks, tables
 from commitlens.streaming import carry
 
@@ -43,6 +44,44 @@ def test_likeness():
     assert text.indel_ratio("", "") == 100 and text.indel_ratio("abcdefghij", "abcdefghiX") == 90 and text.indel_ratio("abcdefghi", "abcdefghX") < 90
 
 
+def test_alike_rows_compare_texts_once(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abé ") for _ in range(rng.randrange(25))) for _ in range(25)] + ["", None, "x" * 90]
+    texts += ["".join(c for c in t or "" if rng.random() > 0.06) for t in texts for _ in range(3)]
+    rows = [(rng.randrange(1000), rng.choice("gh"), rng.choice(texts)) for _ in range(400)] + [(1000 + i, "g", "the same text") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, g string, t string")
+    for least in (90.0, 75.0):
+        want = []
+        for i, (a, g, x) in enumerate(rows):
+            for b, h, y in rows[:i]:
+                if g == h and a != b and (r := text.indel_ratio(x or "", y or "")) >= least:
+                    want.append((min(a, b), max(a, b), r))
+        got = likeness.row_pairs(df, ["g"], "id", "t", least).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 20000
+    most, got = joined_rows(likeness.text_pairs(df, ["g"], "t"))
+    # rows of one text are not compared with each other, nor texts that edits rule out
+    assert len({(r.g, r.one, r.two) for r in got}) == len(got) and most < 1000
+
+
+def test_fuzzy_pairs_does_not_compare_copies(spark, tmp_path):
+    rows = [(50 * i + k, "ab ring", "Brand#1", "LARGE", 7) for i in range(100) for k in range(2)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    seen = spark.sparkContext.accumulator(0)
+    one = text.indel.func
+
+    def counted(a, b):
+        seen.add(len(a))
+        return one(a, b)
+
+    plain, text.indel = text.indel, F.pandas_udf(counted, text.DoubleType())
+    try:
+        got = graph_queries.fuzzy_pairs(spark, str(tmp_path)).collect()
+    finally:
+        text.indel = plain
+    assert len(got) == 200 * 199 // 2 and {r.ratio for r in got} == {100.0, round(200 * 14 / 30, 6)}
+    assert seen.value == 1
+
+
 def test_versions(spark):
     v = ["1.10.0", "1.9.0", "1.9.0_benign", "1.9.0rc1"]
     df = spark.createDataFrame([(x,) for x in v], "v string")
